@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces
+from . import chat, mixing, pieces, toxicity
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op7_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.default_model())
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op5_source_mix, op7_piece_codes)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-ORACLES: dict[str, str] = {"op5_source_mix": mixing.MIX_SQL}
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_query(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
+
+ORACLES: dict[str, str] = {"op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
