@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, quality, toxicity
+from . import chat, mixing, pieces, quality, toxicity, vectors
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_quality_outliers, op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_quality_outliers, op3_vector_links, op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
 
 ORACLES: dict[str, str] = {"op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
