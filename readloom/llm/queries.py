@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, quality, toxicity, vectors
+from . import chat, mixing, pieces, quality, toxicity, vectors, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_query(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_quality_outliers, op3_vector_links, op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
 
-ORACLES: dict[str, str] = {"op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
+ORACLES: dict[str, str] = {"op1_warc_index": warc.WARC_SQL, "op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
