@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, quality, toxicity, vectors, warc
+from . import chat, minhash, mixing, pieces, quality, toxicity, vectors, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_links(table(spark, sf_dir, "embeddings"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op4_minhash, op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
 
 ORACLES: dict[str, str] = {"op1_warc_index": warc.WARC_SQL, "op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
