@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, pieces, quality, toxicity, vectors, warc
+from . import chat, minhash, mixing, pieces, quality, suffixes, toxicity, vectors, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +40,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op4_minhash, op5_source_mix, op7_piece_codes, op8_toxicity, op10_chat_format)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op4_minhash, op5_source_mix, op7_piece_codes, op8_toxicity, op9_suffix_dedup, op10_chat_format)}
 
 ORACLES: dict[str, str] = {"op1_warc_index": warc.WARC_SQL, "op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
