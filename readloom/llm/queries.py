@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, pieces, quality, suffixes, toxicity, vectors, warc
+from . import chat, language, minhash, mixing, pieces, quality, suffixes, toxicity, vectors, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(table(spark, sf_dir, "documents"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.default_model())
 
@@ -48,6 +52,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op4_minhash, op5_source_mix, op7_piece_codes, op8_toxicity, op9_suffix_dedup, op10_chat_format)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op4_minhash, op5_source_mix, op6_context_mixing, op7_piece_codes, op8_toxicity, op9_suffix_dedup, op10_chat_format)}
 
 ORACLES: dict[str, str] = {"op1_warc_index": warc.WARC_SQL, "op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
