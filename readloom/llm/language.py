@@ -27,8 +27,10 @@ FREQUENT = 1 << 17
 CLASSES = 17
 #: Slots of the contexts: the byte before; two before and the class; three and the class; the word so far; that and the class.
 BITS = (16, 20, 20, 22, 23)
-#: Added to either count of a context; largest logit; cells in a piece of a table that is sent; units in a step of learning.
-PRIOR, LIMIT, PIECE, STEP = 0.4, 9.0, 1 << 16, 4096
+#: Added to either count of a context; largest logit; cells in a piece of a table that is sent.
+PRIOR, LIMIT, PIECE = 0.4, 9.0, 1 << 16
+#: One training text in TUNE teaches the weights, against counts of the others alone, so that counts of its own words don't flatter the long contexts; then all count. Units in a step, passes over a batch.
+TUNE, STEP, PASSES = 8, 1024, 2
 GATES, APM = 24, 33
 RATE = 0.02
 BLANK, END = 32, 10
@@ -282,8 +284,12 @@ def _added(batches):
         yield out()
 
 
+#: Added to the number of a table of the texts that tune.
+TUNED = 100
+
+
 def gather_tables(docs: DataFrame, model: Mixer) -> dict[int, np.ndarray]:
-    """Counts over all training texts: of the contexts of whole texts, and of frequent words and ends by class (table 9).
+    """Counts over all training texts: of the contexts of whole texts, and of frequent words and ends by class (table 9); those that tune have tables of their own, TUNED later.
 
     Each task sends its own counts once, in compressed pieces, so what is
     shuffled grows with the input; their sum has the model's fixed size.
@@ -294,22 +300,24 @@ def gather_tables(docs: DataFrame, model: Mixer) -> dict[int, np.ndarray]:
 
     def run(batches):
         m = sent.value
-        tables = {w: np.zeros(n, np.int64) for w, n in cells.items()}
+        both = [{w: np.zeros(n, np.int64) for w, n in cells.items()} for _ in (0, 1)]
         for b in batches:
             t = Tokens(b.column(0))
-            token, _, count = t.units(np.arange(len(t.row)))
-            for at in range(0, len(token), 1 << 16):
-                m.tally(t.spell(token[at : at + (1 << 16)]), count[at : at + (1 << 16)], (0, 1, 2), tables)
-            place = np.where(t.size[token] < 0, len(m.words), m.place(t.word[token]))
-            ok = place >= 0
-            np.add.at(tables[9], place[ok] * CLASSES + t.cls[token[ok]], count[ok])
-        rows = list(_pieces(tables))
+            tuning = b.column(1).to_numpy(zero_copy_only=False)[t.row]
+            for tables, use in zip(both, (~tuning, tuning)):
+                token, _, count = t.units(np.flatnonzero(use))
+                for at in range(0, len(token), 1 << 16):
+                    m.tally(t.spell(token[at : at + (1 << 16)]), count[at : at + (1 << 16)], (0, 1, 2), tables)
+                place = np.where(t.size[token] < 0, len(m.words), m.place(t.word[token]))
+                ok = place >= 0
+                np.add.at(tables[9], place[ok] * CLASSES + t.cls[token[ok]], count[ok])
+        rows = list(_pieces(both[0] | {w + TUNED: x for w, x in both[1].items()}))
         for r in rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.int32()), pa.array([r[2]], pa.binary()), pa.array([r[3]])], ["which", "part", "cells", "wide"])
 
-    parts = docs.where("train").select("text").mapInArrow(run, "which int, part int, cells binary, wide boolean")
+    parts = docs.where("train").select("text", "tune").mapInArrow(run, "which int, part int, cells binary, wide boolean")
     summed = parts.repartition("which", "part").sortWithinPartitions("which", "part").mapInArrow(_added, "which int, part int, cells binary")
-    tables = {w: np.zeros(n, np.uint64) for w, n in cells.items()}
+    tables = {w + t: np.zeros(n, np.uint64) for w, n in cells.items() for t in (0, TUNED)}
     for r in summed.toLocalIterator():
         got = np.frombuffer(r["cells"], np.uint64)
         tables[r["which"]][r["part"] * PIECE : r["part"] * PIECE + len(got)] = got
@@ -337,7 +345,7 @@ def whole_words(model: Mixer, by_class: np.ndarray) -> dict[int, np.ndarray]:
 
 
 def learn_weights(docs: DataFrame, model: Mixer) -> None:
-    """Each task learns online over its training texts; the weights are averaged and the outcomes added up, in order of the tasks."""
+    """Each task learns online over its texts that tune; the weights are averaged and the outcomes added up, in order of the tasks."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -353,14 +361,14 @@ def learn_weights(docs: DataFrame, model: Mixer) -> None:
             token, _, count = t.units(np.arange(len(t.row)))
             order = np.argsort(token % 7919, kind="stable")  # mixes rare and frequent units in every step
             token, count = token[order], count[order]
-            for at in range(0, len(token), STEP):
+            for at in [*range(0, len(token), STEP)] * PASSES:
                 m.learn(t.spell(token[at : at + STEP]), count[at : at + STEP], state)
             total += int(count.sum())
         if total:
             data = np.concatenate([m.weight.ravel().astype(float), state["n"], state["hit"]])
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total]), pa.array([data.tobytes()], pa.binary())], ["task", "total", "data"])
 
-    rows = materialise(docs.where("train").select("text").mapInArrow(run, "task long, total long, data binary")).orderBy("task")
+    rows = materialise(docs.where("train and tune").select("text").mapInArrow(run, "task long, total long, data binary")).orderBy("task")
     size = model.weight.size
     weights, n, hit, total = np.zeros(size), np.zeros(GATES * APM), np.zeros(GATES * APM), 0
     for r in rows.toLocalIterator():  # a few KB a task, one at a time
@@ -376,15 +384,17 @@ def learn_weights(docs: DataFrame, model: Mixer) -> None:
 
 
 def train(docs: DataFrame, words: DataFrame) -> tuple[Mixer, int]:
-    """Model of the training texts of docs (text, train), and the number of ends."""
+    """Model of the training texts of docs (text, train, tune), and the number of ends."""
     ends = docs.where("train").count()
     top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     model = Mixer([bytes(w) for w in top["word"].to_pylist()], top["c"].to_numpy(), ends)
     tables = gather_tables(docs, model)
-    by_class = tables.pop(9)
-    model.set_tables(tables | whole_words(model, by_class))
-    model.words = []  # no longer needed by the tasks
+    rest = {w: x for w, x in tables.items() if w < TUNED}
+    model.set_tables(rest | whole_words(model, rest[9]))
     learn_weights(docs, model)
+    every = {w: rest[w] + tables[w + TUNED] for w in rest}
+    model.set_tables(every | whole_words(model, every[9]))
+    model.words = []  # no longer needed
     return model, ends
 
 
@@ -434,7 +444,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     are separate; without training rows N is 0 and the model is uniform over
     its tree's bits; an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "text", (~held_out()).alias("train")).withColumn("rid", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text", (~held_out()).alias("train"), (F.pmod(F.xxhash64("doc_id"), TUNE) == 0).alias("tune")).withColumn("rid", F.monotonically_increasing_id())
     words = count_words(rows)
     model, ends = train(rows, words)
     n_words, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
