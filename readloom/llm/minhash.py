@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import flat
@@ -248,6 +249,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the near duplicates of an earlier one; of rows of one doc_id the first by text stays. Rows without doc_id stay."""
+    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    kept = docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti")
+    twice = materialise(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
+    n = twice.count()
+    if not n:
+        return kept
+    again = kept.join(maybe_broadcast(twice, 16, n), "doc_id", "left_semi").withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_r = 1").drop("_r")
+    return kept.join(maybe_broadcast(twice, 16, n), "doc_id", "left_anti").unionByName(again)
+
+
 def _lists(sketches: DataFrame) -> DataFrame:
     """value, id: the inverted lists of the LISTED least values."""
 

@@ -47,8 +47,8 @@ def uniform(seed: str, name: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of each document of docs (doc_id, text, source).
+def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of each document of docs (doc_id, text, source), and the columns to carry.
 
     Within a source every document expects target / source_size copies. The
     documents stand in order of size (ties: md5 of the id, the id), so that
@@ -70,6 +70,7 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"),
+        *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("source").asc_nulls_last(), "size", "h", "doc_id"]
@@ -87,7 +88,13 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shift = uniform(seed, F.col("source"))
     crossed = F.floor((rank + 1) * rate + shift) - F.floor(rank * rate + shift)
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"), *[F.col(f"carried_{c}") for c in carry])
+
+
+def repeat_rows(docs: DataFrame) -> DataFrame:
+    """docs, each row as often as the mix takes it."""
+    mixed = systematic_mix(docs, carry=tuple(docs.columns)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
 
 
 def _with_targets(counts: DataFrame, targets: DataFrame) -> DataFrame:

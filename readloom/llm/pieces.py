@@ -272,7 +272,7 @@ def default_model() -> str:
 
 
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids array<int>, decoded of every text, whole. Null and empty texts have no ids and decode to ''."""
+    """id, ids array<int>, decoded of every text, whole. Null and empty texts have no ids and decode to ''; repeated rows are separate rows."""
 
     def run(batches):
         gc.disable()  # the memo holds many tuples, none in a cycle
