@@ -52,21 +52,23 @@ def stack_by_mutations(starts: list[int], ends: list[int]) -> list[int]:
 
 
 def with_heights(rows: DataFrame, style: str) -> DataFrame:
-    """rows (alignment_index, contig_id, contig_start, contig_end, mutation_count) with height.
+    """rows (alignment_index, line_no, interval_id, contig_id, contig_start, contig_end, mutation_count) with height.
 
+    Equal starts, or densities, come in order of the line, then the interval.
     Levels of a contig are independent of others, and of stretches between
     which no alignment reaches, so each such island is stacked on its own.
     """
     if style not in STYLES:
         raise ValueError(f"height style must be one of {STYLES}: {style}")
-    w = W.partitionBy("contig_id").orderBy("contig_start", "alignment_index")
+    w = W.partitionBy("contig_id").orderBy("contig_start", "tie")
     reach = F.max("contig_end").over(w.rowsBetween(W.unboundedPreceding, -1))
     apart = F.col("contig_start") >= reach if style == "by_coord" else F.col("contig_start") > reach
-    keys = rows.select("alignment_index", "contig_id", "contig_start", "contig_end", density(F.col("mutation_count"), F.col("contig_start"), F.col("contig_end")).alias("density"))
+    tie = F.row_number().over(W.partitionBy("contig_id").orderBy("line_no", "interval_id"))
+    keys = rows.select("alignment_index", tie.alias("tie"), "contig_id", "contig_start", "contig_end", density(F.col("mutation_count"), F.col("contig_start"), F.col("contig_end")).alias("density"))
     keys = keys.withColumn("apart", F.when(apart, 1).otherwise(0)).withColumn("island", F.sum("apart").over(w)).drop("apart")
 
     def stack(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = ["contig_start", "alignment_index"] if style == "by_coord" else ["density", "alignment_index"]
+        by = ["contig_start" if style == "by_coord" else "density", "tie"]
         pdf = pdf.sort_values(by, ascending=[style == "by_coord", True], kind="stable")
         place = stack_by_coord if style == "by_coord" else stack_by_mutations
         return pd.DataFrame({"alignment_index": pdf["alignment_index"], "height": place(pdf["contig_start"].tolist(), pdf["contig_end"].tolist())})

@@ -243,7 +243,7 @@ ORACLES: dict[str, str] = {
     "full_alignments": f"with {A}, {M}, {IV}, {FULL}, n as (select {K}, count(*) as c from m group by all) select alignment_index, read_id, span as read_length, contig_id, 0::bigint as read_start, span as read_end, contig_start, contig_end, is_reverse, cs as cs_tag, coalesce(c, 0)::bigint as mutation_count from f left join n using ({K})",
     "full_mutations": f"with {A}, {M}, {IV}, {FULL} select f.alignment_index, f.read_id, f.contig_id, t.type as mutation_type, t.position as mutation_position, t.text as mutation_desc from f join t using ({K})",
     "heights_by_coord": f"""with recursive {A}, {IV}, j as (select * from iv where interval_id < 4), {FULL.replace('join iv', 'join j')},
-o as (select alignment_index, contig_id, contig_start, contig_end, row_number() over (partition by contig_id order by contig_start, alignment_index) as rn from f),
+o as (select alignment_index, contig_id, contig_start, contig_end, row_number() over (partition by contig_id order by contig_start, {K}, interval_id) as rn from f),
 r as (select alignment_index, contig_id, contig_start, contig_end, rn, [contig_end] as ends, 0::bigint as height from o where rn = 1
   union all select o.alignment_index, o.contig_id, o.contig_start, o.contig_end, o.rn,
     case when coalesce(list_position(list_transform(r.ends, lambda x: x <= o.contig_start), true), 0) = 0 then list_append(r.ends, o.contig_end)

@@ -17,8 +17,10 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     if head and head[0]["value"] != HEADER:
         raise ValueError(f"intervals need the header {HEADER!r}")
     rows = lines.where((F.col("line_no") > 0) & (F.trim("value") != "")).select("line_no", F.split(F.trim("value"), r"\s+").alias("f"))
-    rows = rows.where(F.when(F.size("f") == 3, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("bad interval in line "), F.col("line_no").cast("string")))))
-    return rows.select((F.col("line_no") - 1).alias("interval_id"), F.col("f")[0].alias("contig_id"), F.col("f")[1].cast("bigint").alias("start"), F.col("f")[2].cast("bigint").alias("end"))
+    bad = F.raise_error(F.concat(F.lit("bad interval in line "), F.col("line_no").cast("string"))).cast("bigint")
+    # the header takes part in no cast, whatever the order that filters run in
+    number = lambda k: F.when(F.col("line_no") > 0, F.when(F.size("f") == 3, F.coalesce(F.get("f", k).try_cast("bigint"), bad)).otherwise(bad))
+    return rows.select((F.col("line_no") - 1).alias("interval_id"), F.get("f", 0).alias("contig_id"), number(1).alias("start"), number(2).alias("end"))
 
 
 def intervals_from(df: DataFrame, one_based: bool = True) -> DataFrame:
