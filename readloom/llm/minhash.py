@@ -17,12 +17,14 @@ from .runtime import materialise, maybe_broadcast, remove, shared_dir
 #: Words of a shingle; a link needs PERCENT of the union shared.
 SHINGLE, PERCENT = 5, 75
 #: Values of a sketch. The least LISTED of them enter the inverted lists: two sets at the threshold have none of
-#: these in common with probability below 2e-6, more alike ones with less.
-SKETCH, LISTED = 64, 10
-#: Pairs go on to the exact check if the union sketch estimates at least this, five standard errors under the threshold.
-LEAST_ESTIMATE = 0.48
+#: these in common with probability below 1e-7, and one at most with 3e-6; more alike ones with less.
+SKETCH, LISTED = 128, 12
+#: Longer lists, of passages that many texts share, give way to lists of two such values at once.
+HOT = 200
+#: Standard errors under the threshold at which the union sketch's estimate still lets a pair go on to the exact check.
+ERRORS = 5.0
 #: Rows of a list compared at once, and first bound on the partners of a row in a round; rounds raise it until none is cut.
-BLOCK, PARTNERS = 2048, 8
+BLOCK, PARTNERS = 4096, 8
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -40,19 +42,23 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Itera
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (a hash of the whole set), sketch (its SKETCH least values) of each text."""
+    """doc_id, n_shingles, h1, h2 (a hash of the whole set), listed and sketch of each text.
+
+    listed holds the LISTED least values, sketch the set's size and the upper halves of the SKETCH least.
+    """
 
     def run(batches):
         for b in batches:
-            n, h1, h2, sketch = [], [], [], []
+            n, h1, h2, listed, sketch = [], [], [], [], []
             for s in shingle_sets(*flat.text_bytes(b.column(1))):
                 n.append(len(s))
                 h1.append(flat.mix(s).sum(dtype=np.uint64).astype(np.int64))
                 h2.append(flat.mix(s ^ flat.M1).sum(dtype=np.uint64).astype(np.int64))
-                sketch.append(s[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
+                listed.append(s[:LISTED].tobytes())
+                sketch.append(np.concatenate([[min(len(s), 2**32 - 1)], s[:SKETCH] >> np.uint64(32)]).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(listed, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "listed", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, listed binary, sketch binary")
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,13 +74,28 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (inside & again).sum(1) / np.maximum(union, 1)
 
 
-def unpack(sketches: list[bytes]) -> np.ndarray:
-    """One row a sketch, of the upper halves of its values, in order; padded at the end."""
+def unpack(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each sketch, padded at the end, and the size of each set."""
     out = np.full((len(sketches), SKETCH), np.iinfo(np.uint32).max, np.uint32)
+    size = np.zeros(len(sketches))
     for i, s in enumerate(sketches):
-        v = np.frombuffer(s, np.uint32)[1::2]
-        out[i, : len(v)] = v
-    return out
+        v = np.frombuffer(s, np.uint32)
+        size[i] = v[0]
+        out[i, : len(v) - 1] = v[1:]
+    return out, size
+
+
+def least_estimate(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Least estimate of pairs of sets of these sizes that may be linked; over 1 where the sizes alone rule a link out.
+
+    At the threshold the union has (na + nb) / (1 + PERCENT / 100) values, of
+    which the union sketch is a sample without replacement: if it holds all,
+    the estimate is exact.
+    """
+    t = PERCENT / 100
+    share = np.minimum(1.0, SKETCH * (1 + t) / np.maximum(na + nb, 1))
+    least = t - 0.01 - ERRORS * np.sqrt(t * (1 - t) / SKETCH * (1 - share))
+    return np.where(np.minimum(na, nb) >= t * np.maximum(na, nb), least, 2.0)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,8 +156,8 @@ def star_candidates(lists: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            e = estimates(unpack(b.column(2).to_pylist()), unpack(b.column(3).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(e >= LEAST_ESTIMATE))
+            (u, nu), (v, nv) = unpack(b.column(2).to_pylist()), unpack(b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(estimates(u, v) >= least_estimate(nu, nv)))
 
     return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
@@ -164,7 +185,7 @@ def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFra
         ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         second = group["second"].to_numpy(zero_copy_only=False)
-        s = unpack(group["sketch"].to_pylist())
+        s, n = unpack(group["sketch"].to_pylist())
         x = np.flatnonzero(~second)
         y = x if i == j else np.flatnonzero(second)
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cut": pa.array([], pa.bool_())})
@@ -175,14 +196,14 @@ def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFra
         for at in range(0, len(x), 512):
             xs = x[at : at + 512]
             common = shared(s[xs], s[y])
-            least = LEAST_ESTIMATE * np.maximum(size[xs][:, None], size[y][None, :])  # the union sketch is as large as either
+            least = least_estimate(n[xs][:, None], n[y][None, :]) * np.maximum(size[xs][:, None], size[y][None, :])  # the union sketch is as large as either
             p, q = np.nonzero((common >= least) & (comp[xs][:, None] != comp[y][None, :]))
             if i == j:
                 p, q = p[ids[xs[p]] < ids[y[q]]], q[ids[xs[p]] < ids[y[q]]]
             for k in range(0, len(p), 1 << 14):
                 a, b = xs[p[k : k + (1 << 14)]], y[q[k : k + (1 << 14)]]
                 e = estimates(s[a], s[b])
-                ok = e >= LEAST_ESTIMATE
+                ok = e >= least_estimate(n[a], n[b])
                 found.append((a[ok], b[ok], e[ok]))
         if not found:
             return none
@@ -222,11 +243,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     key = ["n_shingles", "h1", "h2"]
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     heads = full.groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    placed = materialise(full.join(heads, key).select("doc_id", "n_shingles", "class_id", F.when(F.col("doc_id") == F.col("class_id"), F.col("sketch")).alias("sketch")))
+    head = F.col("doc_id") == F.col("class_id")
+    placed = materialise(full.join(heads, key).select("doc_id", "n_shingles", "class_id", F.when(head, F.col("listed")).alias("listed"), F.when(head, F.col("sketch")).alias("sketch")))
     bare = materialise(signed.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles"))
     remove(spark, signed_path)
     sketches = placed.where("sketch is not null").select(F.col("class_id").alias("id"), "sketch")
-    lists = _lists(sketches)
+    lists = inverted_lists(placed.where("sketch is not null").select(F.col("class_id").alias("id"), "listed"))
     tested = verify(docs, star_candidates(lists, sketches))
     most = PARTNERS
     while True:
@@ -241,9 +263,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not cut:
             parts = materialise(connected_components(tested.where("linked")))
             break
-        most *= 4
+        most *= 16
     n = parts.count()
-    out = placed.drop("sketch").join(maybe_broadcast(parts.select(F.col("node").alias("class_id"), "component"), 24, n), "class_id", "left")
+    out = placed.drop("listed", "sketch").join(maybe_broadcast(parts.select(F.col("node").alias("class_id"), "component"), 24, n), "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     out = out.union(bare.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -261,15 +283,29 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return kept.join(maybe_broadcast(twice, 16, n), "doc_id", "left_anti").unionByName(again)
 
 
-def _lists(sketches: DataFrame) -> DataFrame:
-    """value, id: the inverted lists of the LISTED least values."""
+def inverted_lists(listed: DataFrame) -> DataFrame:
+    """value, id: the lists of all values of (id, listed) that more than one row has.
+
+    A value of more than HOT rows says little: its rows enter lists of two such
+    values instead. Alike sets share more than one of their least values, so
+    they still meet, and texts with but a common phrase don't.
+    """
 
     def run(batches):
         for b in batches:
-            got = [np.frombuffer(s, np.int64)[:LISTED] for s in b.column(1).to_pylist()]
-            size = [len(g) for g in got]
-            ids = np.repeat(b.column(0).to_numpy(), size)
+            got = [np.frombuffer(s, np.int64) for s in b.column(1).to_pylist()]
+            ids = np.repeat(b.column(0).to_numpy(), [len(g) for g in got])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.zeros(0, np.int64)), pa.array(ids)], ["value", "id"])
 
-    every = sketches.select("id", "sketch").mapInArrow(run, "value long, id long")
-    return materialise(every)
+    every = materialise(listed.select("id", "listed").mapInArrow(run, "value long, id long"))
+    counts = materialise(every.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"))
+    cool = every.join(counts.where(F.col("c") <= HOT).select("value"), "value")
+    hot = materialise(counts.where(F.col("c") > HOT).select("value"))
+    n = hot.count()
+    if not n:
+        return materialise(cool)
+    common = every.join(maybe_broadcast(hot, 16, n), "value").groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("v")).where(F.size("v") > 1)
+    two = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, LISTED), lambda y: F.xxhash64(x, y))))
+    pairs = common.select(F.explode(two).alias("value"), "id")
+    several = pairs.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
+    return materialise(cool.select("value", "id").union(pairs.join(several, "value").select("value", "id")))
