@@ -319,7 +319,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     many = materialise(open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_MOST).select("anchor"))
     n_many = many.count()
     wanted = open_.groupBy("ord").agg(F.collect_list(F.struct("anchor", "lo", "size")).alias("wanted"))
-    passages = texts.join(maybe_broadcast(wanted, 400), "ord").select("ord", "text", "wanted")
+    passages = texts.join(wanted, "ord").select("ord", "text", "wanted")  # both grow with the corpus: shuffled at every size
 
     def cut(batches):
         for b in batches:
