@@ -103,6 +103,22 @@ class Spelling:
         return (((self.context[which][rows] + node * NODE_ODD) * SLOT_ODD) >> np.uint64(64 - BITS[which])).astype(np.int64)
 
 
+#: Bytes of text looked at at once: units are told apart within these.
+SLICE = 16 << 20
+
+
+def sliced(batches):
+    """The batches in parts of about SLICE bytes of their column text; a longer text is a part of its own."""
+    for b in batches:
+        text = b.column(b.schema.get_field_index("text"))
+        end = np.cumsum(np.diff(flat.text_bytes(text)[1]))
+        part = end // SLICE
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), b.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                yield b.slice(a, z - a)
+
+
 class Tokens:
     """The words and ends of a batch of texts, and its distinct units (word or end, class)."""
 
@@ -114,16 +130,17 @@ class Tokens:
         high = np.flatnonzero(self.raw > 127)
         cls = lambda at, first: self._class(high, at, first)
         w_cls, e_cls = cls(start, off[row] if len(row) else start), cls(off[1:], off[:-1])
-        self.row = np.concatenate([row, np.arange(self.n)])
+        place = np.int32 if len(raw) < 1 << 31 else np.int64
+        self.row = np.concatenate([row.astype(np.int32), np.arange(self.n, dtype=np.int32)])
         self.word = np.concatenate([word, np.zeros(self.n, np.uint64)])
-        self.start = np.concatenate([start, np.zeros(self.n, np.int64)])
-        self.size = np.concatenate([end - start, np.full(self.n, -1)])
+        self.size = np.concatenate([(end - start).astype(place), np.full(self.n, -1, place)])
+        self.start = np.concatenate([start.astype(place), np.zeros(self.n, place)])
         self.cls = np.concatenate([w_cls, e_cls])
 
     def _class(self, high: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
         k = np.searchsorted(high, at) - 1
         found = (k >= 0) & (high[np.maximum(k, 0)] >= first) if len(high) else np.zeros(len(at), bool)
-        out = np.zeros(len(at), np.int64)
+        out = np.zeros(len(at), np.uint8)
         out[found] = (self.raw[high[k[found]]] & 15) + 1
         return out
 
@@ -148,7 +165,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word, c: every word of the training texts, the end not among them."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             t = Tokens(b.column(0))
             use = np.flatnonzero(t.size >= 0)
             if not len(use):
@@ -208,8 +225,11 @@ class Mixer:
     def set_tables(self, tables: dict[int, np.ndarray]) -> None:
         self.logit = []
         for w in range(len(BITS)):
-            zero, one = tables[w][0::2], tables[w][1::2]
-            self.logit.append(np.clip(np.log((one + PRIOR) / (zero + PRIOR)), -LIMIT, LIMIT).astype(np.float16))
+            logit = np.empty(1 << BITS[w], np.float16)
+            for at in range(0, len(logit), 1 << 18):
+                cells = tables[w][2 * at : 2 * (at + (1 << 18))].astype(np.float32)
+                logit[at : at + (1 << 18)] = np.clip(np.log((cells[1::2] + PRIOR) / (cells[0::2] + PRIOR)), -LIMIT, LIMIT)
+            self.logit.append(logit)
 
     def inputs(self, s: Spelling, rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the contexts, with a constant, and the gate: which of the long contexts are known, and how far the word has come."""
@@ -301,7 +321,7 @@ def gather_tables(docs: DataFrame, model: Mixer) -> dict[int, np.ndarray]:
     def run(batches):
         m = sent.value
         both = [{w: np.zeros(n, np.int64) for w, n in cells.items()} for _ in (0, 1)]
-        for b in batches:
+        for b in sliced(batches):
             t = Tokens(b.column(0))
             tuning = b.column(1).to_numpy(zero_copy_only=False)[t.row]
             for tables, use in zip(both, (~tuning, tuning)):
@@ -356,7 +376,7 @@ def learn_weights(docs: DataFrame, model: Mixer) -> None:
         m.weight[:, -1] = 0
         state = {"n": np.zeros(GATES * APM), "hit": np.zeros(GATES * APM), "step": 0, "m": np.zeros(m.weight.shape), "v": np.zeros(m.weight.shape)}
         total = 0
-        for b in batches:
+        for b in sliced(batches):
             t = Tokens(b.column(0))
             token, _, count = t.units(np.arange(len(t.row)))
             order = np.argsort(token % 7919, kind="stable")  # mixes rare and frequent units in every step
@@ -405,7 +425,7 @@ def score_texts(docs: DataFrame, model: Mixer, ends: int, n_train: int, n_distin
 
     def run(batches):
         m = sent.value
-        for b in batches:
+        for b in sliced(batches):
             t = Tokens(b.column(1))
             token, unit, _ = t.units(np.arange(len(t.row)))
             log = np.concatenate([m.log10(t.spell(token[at : at + (1 << 15)]), len(token[at : at + (1 << 15)])) for at in range(0, len(token), 1 << 15)] or [np.zeros(0)])

@@ -36,8 +36,12 @@ ENTRY_DDL = "url_key string, captured long, page_id long, archive string, offset
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed, then path and query: captures of a host and its paths stand together."""
-    parts = urlsplit(url or "")
+    """Host labels reversed, then path and query: captures of a host and its paths stand together. A null URL has an empty host."""
+    try:
+        parts = urlsplit(url or "")
+        parts.hostname
+    except ValueError:  # no URL by its form: it stands under itself
+        return f"){url}"
     host = (parts.hostname or "").removeprefix("www.")
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/").lower() + (f"?{parts.query.lower()}" if parts.query else "")
 
