@@ -186,25 +186,31 @@ def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFra
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         second = group["second"].to_numpy(zero_copy_only=False)
         s, n = unpack(group["sketch"].to_pylist())
-        x = np.flatnonzero(~second)
-        y = x if i == j else np.flatnonzero(second)
+        # rows of the commonest component aren't compared with one another
+        names, held = np.unique(comp, return_counts=True)
+        rest = comp != names[np.argmax(held)]
+        every = np.arange(len(ids))
+        if i == j:
+            sides = [(every[rest], every)]
+        else:
+            sides = [(every[~second & rest], every[second]), (every[~second & ~rest], every[second & rest])]
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cut": pa.array([], pa.bool_())})
-        if not len(x) or not len(y):
-            return none
         found: list[tuple[np.ndarray, ...]] = []
         size = (s != np.iinfo(np.uint32).max).sum(1)
-        for at in range(0, len(x), 512):
-            xs = x[at : at + 512]
-            common = shared(s[xs], s[y])
-            least = least_estimate(n[xs][:, None], n[y][None, :]) * np.maximum(size[xs][:, None], size[y][None, :])  # the union sketch is as large as either
-            p, q = np.nonzero((common >= least) & (comp[xs][:, None] != comp[y][None, :]))
-            if i == j:
-                p, q = p[ids[xs[p]] < ids[y[q]]], q[ids[xs[p]] < ids[y[q]]]
-            for k in range(0, len(p), 1 << 14):
-                a, b = xs[p[k : k + (1 << 14)]], y[q[k : k + (1 << 14)]]
-                e = estimates(s[a], s[b])
-                ok = e >= least_estimate(n[a], n[b])
-                found.append((a[ok], b[ok], e[ok]))
+        for x, y in sides:
+            for at in range(0, len(x) if len(y) else 0, 512):
+                xs = x[at : at + 512]
+                common = shared(s[xs], s[y])
+                least = least_estimate(n[xs][:, None], n[y][None, :]) * np.maximum(size[xs][:, None], size[y][None, :])  # the union sketch is as large as either
+                p, q = np.nonzero((common >= least) & (comp[xs][:, None] != comp[y][None, :]))
+                if i == j:
+                    once = ~rest[y[q]] | (ids[xs[p]] < ids[y[q]])
+                    p, q = p[once], q[once]
+                for k in range(0, len(p), 1 << 14):
+                    a, b = xs[p[k : k + (1 << 14)]], y[q[k : k + (1 << 14)]]
+                    e = estimates(s[a], s[b])
+                    ok = e >= least_estimate(n[a], n[b])
+                    found.append((a[ok], b[ok], e[ok]))
         if not found:
             return none
         a, b, e = map(np.concatenate, zip(*found))
