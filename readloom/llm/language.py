@@ -104,7 +104,7 @@ class Spelling:
 
 
 #: Bytes of text looked at at once: units are told apart within these.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def sliced(batches):
