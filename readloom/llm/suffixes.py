@@ -297,15 +297,20 @@ def _indexed(batches):
         yield flush()
 
 
-def ordered_texts(docs: DataFrame) -> DataFrame:
-    """docs with a column ord that orders documents: doc_id where it tells all rows apart, else a number by (doc_id, text), null ids last."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    odd = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+def ordered_rows(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of that name that orders documents: doc_id where it tells all rows apart, else a number by (doc_id, text), null ids last."""
+    key = F.col("doc_id").cast("long")
+    odd = docs.groupBy(key.alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return ids.withColumn("ord", F.col("doc_id"))
+        return docs.withColumn(name, key)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    return materialise(ids.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("ord", F.monotonically_increasing_id()))
+    keys = [key.asc_nulls_last(), F.col("text").asc_nulls_first()]
+    return materialise(docs.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()))
+
+
+def ordered_texts(docs: DataFrame) -> DataFrame:
+    """ord, doc_id and text of docs."""
+    return ordered_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "ord")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -366,9 +371,9 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Texts with ord, a table (ord, doc_id, n_bytes, sha, copy) of all documents, and the spans of those that aren't copies."""
-    texts = ordered_texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+def find_repeats(ordered: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc_id, text, ord): texts with ord, a table (ord, doc_id, n_bytes, sha, copy) of all documents, and the spans of those that aren't copies."""
+    texts = ordered.withColumn("text", F.coalesce("text", F.lit("")))
     facts = texts.select("ord", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     facts = materialise(facts)
     firsts = facts.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -388,7 +393,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     nothing and lose nothing; rows of one doc_id are ordered by text, a null
     doc_id comes last; an empty table gives an empty result.
     """
-    texts, facts, spans = find_repeats(docs)
+    texts, facts, spans = find_repeats(ordered_texts(docs))
     n = spans.count()
 
     def removed(batches):
@@ -414,16 +419,17 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeats cut out of text. Rows need a doc_id of their own.
+    """docs with the repeats cut out of text. Rows are told apart as in op9, so null and repeated ids are rows of their own.
 
     A cut may fall inside a character; what is left of it is dropped, since a
     column of strings holds whole characters. Rows stay, even with no text left.
     """
-    _, facts, spans = find_repeats(docs)
+    ordered = ordered_rows(docs, "_ord")
+    _, facts, spans = find_repeats(ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_ord").alias("ord")))
     whole = facts.where("copy").select("ord", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi"))).alias("spans"))
-    spans = materialise(spans.select("ord", "spans").union(whole)).withColumnRenamed("ord", "_ord")
+    spans = materialise(spans.select("ord", "spans").union(whole)).toDF("_ord", "_spans")
     names = docs.columns
-    joined = docs.join(maybe_broadcast(spans, 200), F.col("doc_id") == F.col("_ord"), "left").select(*docs.columns, "spans")
+    joined = ordered.join(maybe_broadcast(spans, 200), "_ord", "left").select(*names, "_spans")
 
     def run(batches):
         at = names.index("text")

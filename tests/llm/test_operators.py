@@ -338,6 +338,22 @@ def test_suffixes_odd(spark, odd_docs, no_docs):
     assert suffixes.dedup_digests(no_docs).count() == 0
 
 
+def test_stage_cuts_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, own = [some(150), some(220)], [some(180) for _ in range(9)]
+    rows = [(3, own[0] + shared[0]), (4, own[1]), (4, shared[0] + own[2]), (7, own[3] + shared[1]), (0, own[4]), (1, own[5] + shared[1]), (2, own[6]), (None, own[7] + shared[0]), (None, None), (4, own[1]), (9, own[8])]
+    docs = spark.createDataFrame([(i, t, k, "mine") for k, (i, t) in enumerate(rows)], "doc_id int, text string, place long, note string").repartition(3)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1] or ""))
+    want = brute_repeats([(k, (rows[k][1] or "").encode()) for k in order])
+    left = [(i, None if t is None else bytes(np.frombuffer(t.encode(), np.uint8)[~want[k]]).decode()) for k, (i, t) in enumerate(rows)]
+    cut = suffixes.without_repeats(docs)
+    assert cut.schema == docs.schema
+    got = cut.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(left, key=repr)
+    assert all(r["note"] == "mine" and r["doc_id"] == rows[r["place"]][0] for r in got)
+
+
 def test_run_length_index():
     rng = random.Random(4)
     segments = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 60))) for _ in range(20)] + [b"ab" * 40, b"ab" * 35]
