@@ -24,7 +24,7 @@ SHARE, FIRST_STEPS, MORE_STEPS = 0.75, 2, 4
 CHI_MEDIAN, CHI_REWEIGHT, CHI_CUT = 3.3567, 11.1433, 80.0
 #: Distances are binned on a logarithmic scale, so many bins to a factor of two.
 BINS = 32
-#: Rows that a group needs for an estimate of its own, and a pool for any.
+#: Rows that a group or language needs for an estimate of its own, and the whole table for any.
 LEAST_GROUP, LEAST_POOL = 100, 40
 
 
@@ -83,12 +83,17 @@ def stats_table(docs: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """lang, source, grp: the group's own key, or that of the pool of its language, or of all, if it has few rows."""
+    """lang, source, grp, pools: the key that a group is judged by, its own or, if it has few rows, its language's or that of all; and the keys of the estimates that its rows enter."""
+    by_lang = W.partitionBy("lang")
     own = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    few = F.when(F.col("n") < LEAST_GROUP, F.col("n")).otherwise(F.lit(0))
-    own = own.withColumn("in_lang", F.sum(few).over(W.partitionBy("lang")))
-    key = F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.array("lang", "source"))).when(F.col("in_lang") >= LEAST_GROUP, F.to_json(F.array("lang"))).otherwise(F.lit("[]"))
-    return own.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), key.alias("grp"))
+    own = own.withColumns({"in_lang": F.sum("n").over(by_lang), "least": F.min("n").over(by_lang)})
+    own = materialise(own)
+    all_needed = own.where(F.col("in_lang") < LEAST_GROUP).limit(1).count() > 0
+    own_key, lang_key, all_key = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]")
+    enough, enough_in_lang = F.col("n") >= LEAST_GROUP, F.col("in_lang") >= LEAST_GROUP
+    key = F.when(enough, own_key).when(enough_in_lang, lang_key).otherwise(all_key)
+    pools = F.array(F.when(enough, own_key), F.when(enough_in_lang & (F.col("least") < LEAST_GROUP), lang_key), F.when(F.lit(all_needed), all_key))
+    return own.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), key.alias("grp"), F.array_compact(pools).alias("pools"))
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
@@ -193,9 +198,9 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     """op2: the counts, base_failed and kept of every row of docs (doc_id, text, lang, source).
 
     Documents that pass the base rule are compared with the robust centre and
-    spread of their language and source; groups of few rows are pooled by
-    language, then all together; where even that pool is small there is no
-    verdict and the document stays. A document goes if its squared distance is
+    spread of their language and source; those of a group of few rows with all
+    rows of their language or, if these are few too, of the table; only where
+    the whole table is small there is no verdict and the document stays. A document goes if its squared distance is
     over CHI_CUT. Null and empty texts fail the base rule; null lang and source
     are values of their own; repeated rows count each; an empty table gives an
     empty result; other columns are ignored.
@@ -205,7 +210,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     groups = materialise(_groups(passed))
     n = groups.count()
     with_group = lambda df: df.join(maybe_broadcast(groups, 200, n), df["lang"].eqNullSafe(F.col("g_lang")) & df["source"].eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
-    rows = materialise(with_group(passed.select("lang", "source", *PARTS)).select("grp", *PARTS))
+    rows = materialise(with_group(passed.select("lang", "source", *PARTS)).select(F.explode("pools").alias("grp"), *PARTS))
     estimates = robust_outliers(rows)
     judged = with_group(stats).join(maybe_broadcast(estimates, 400), "grp", "left").withColumn("d2", _distance())
     outlier = F.coalesce((F.col("d2") > CHI_CUT) & (F.col("all") >= LEAST_POOL), F.lit(False))

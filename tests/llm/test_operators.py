@@ -95,6 +95,26 @@ def test_quality_finds_planted_outliers(spark, no_docs):
     assert quality.quality_verdicts(no_docs).count() == 0
 
 
+def plain_text(rng, n, least=2):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(least, 8))) for _ in range(n))
+
+
+def quality_kept(spark, rows):
+    return {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(1)
+    rows = [(i, plain_text(rng, rng.randint(50, 300)), "en", "s") for i in range(300)]
+    for first, lang, source in ((1000, "en", "new"), (2000, "rare", "t")):
+        rows += [(first + i, plain_text(rng, 100).replace(" ", "### ") if i < 2 else plain_text(rng, 100), lang, source) for i in range(15)]
+    kept = quality_kept(spark, rows)
+    assert not any(kept[i] for i in (1000, 1001, 2000, 2001))
+    assert all(k for i, k in kept.items() if i % 1000 > 1 and i >= 1000)
+    few = quality_kept(spark, [r for r in rows if r[2] == "rare"])
+    assert all(few.values())
+
+
 # op3
 
 
