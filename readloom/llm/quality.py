@@ -20,8 +20,8 @@ SCALE = 1024
 FLOOR = (0.03, 0.04, 0.04, 0.05)
 #: Share of a group that the estimate rests on; steps of concentration for all starts and then for the best.
 SHARE, FIRST_STEPS, MORE_STEPS = 0.75, 2, 4
-#: Chi-square of as many degrees of freedom as parts: the median, the reweighting cut and the verdict's cut (upper tail 2e-16: shares of short texts have long tails, junk lies far beyond).
-CHI_MEDIAN, CHI_REWEIGHT, CHI_CUT = 3.3567, 11.1433, 80.0
+#: Chi-square of as many degrees of freedom as parts: the median, the reweighting cut and the verdict's cut (upper tail 0.001; each part can reach it alone).
+CHI_MEDIAN, CHI_REWEIGHT, CHI_CUT = 3.3567, 11.1433, 18.4668
 #: Distances are binned on a logarithmic scale, so many bins to a factor of two.
 BINS = 32
 #: Rows that a group or language needs for an estimate of its own, and the whole table for any.

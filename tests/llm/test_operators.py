@@ -115,6 +115,21 @@ def test_quality_judges_small_groups(spark):
     assert all(few.values())
 
 
+def test_quality_finds_moderate_outliers_in_each_part(spark):
+    rng = random.Random(2)
+    rows = [(i, plain_text(rng, rng.randint(50, 300)), "en", "s") for i in range(300)]
+    words, block = plain_text(rng, 164).split(), plain_text(rng, 18)
+    rows += [
+        (1000, plain_text(rng, 110, least=6), "en", "s"),  # long words
+        (1001, plain_text(rng, 100) + " #" * 10, "en", "s"),  # ten symbols
+        (1002, "\n".join(f"{plain_text(rng, 30)}\nsame" for _ in range(3)), "en", "s"),  # a line three times
+        (1003, " ".join([*words[:80], block, *words[80:], block]), "en", "s"),  # 36 of 200 words in repeated windows
+    ]
+    kept = quality_kept(spark, rows)
+    assert not any(kept[i] for i in range(1000, 1004))
+    assert sum(not kept[i] for i in range(300)) <= 3
+
+
 # op3
 
 
