@@ -39,6 +39,30 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of values that start at `first`, one after another."""
+    end = np.cumsum(size)
+    if not len(end) or not end[-1]:
+        return values[:0]
+    return values[np.repeat(first - (end - size), size) + np.arange(end[-1])]
+
+
+#: Bytes of text that a task looks at in one go.
+SLICE = 4 << 20
+
+
+def sliced(batches, column: int = 0, most: int | None = None):
+    """The batches in parts of about `most` bytes of their texts in that column; a longer text is a part of its own."""
+    most = most or SLICE
+    for b in batches:
+        end = np.cumsum(np.diff(text_bytes(b.column(column))[1]))
+        part = end // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), b.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                yield b.slice(a, z - a)
+
+
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the row it belongs to."""
     if not len(raw):

@@ -1,17 +1,29 @@
 """Language-model scoring by logistic context mixing.
 
-A text is its words, lower-cased A-Z, and one end. A word is spelt as its bytes
-and a blank, the end as a line feed; each byte is a walk down a Huffman tree, and
-each step is a bit to predict. Hashed contexts give each a prediction from counts
-over the whole training corpus, weights picked by a gate mix them in the logistic
-domain, learned online, and a last table adapts the result to what came true. The
-bits' probabilities multiply to the text's, since words and end are all spelt.
+A text is its words, lower-cased A-Z, and one end. A word that the training
+texts hold more than once is a walk down a Huffman tree of such words; any
+other is the walk of an escape, then its bytes and a blank, each a walk down a
+tree of bytes. Every step of a walk is a bit to predict. Four hashed contexts
+give each bit a prediction from counts over all training texts: for words,
+nothing, the class of the text so far, the word before, the two words before;
+for bytes, one, two or three bytes before and the class, and the word so far.
+
+A prediction is one of LEVELS of confidence. Weights picked by a gate mix the
+four in the logistic domain, and a last table moves the result to what came
+true where the same four met. Both are learned on all training texts: each is
+predicted from the counts of the other half alone, so that its own words don't
+flatter the long contexts, and its outcomes are counted by what the contexts
+said. Those are sums of whole numbers, so the model is the same however rows
+are dealt. The bits' probabilities multiply to the token's.
+
+While a text is scored the model goes on adapting to it: it is mixed with what
+the text has held so far, in several shares at once, of which those that have
+predicted the text best so far weigh most.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,437 +31,444 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import materialise, shared_dir
+from .runtime import Shared, materialise, remove, shared_dir
 
-#: Frequent words that whole-word contexts are counted for; a fixed size of the model.
+#: Most words that have a walk of their own; others are spelt, and their counts enter the byte contexts.
 FREQUENT = 1 << 17
 #: Kinds of text a word may stand in: by the last byte over 127 before it in its document, 0 if none.
 CLASSES = 17
-#: Slots of the contexts: the byte before; two before and the class; three and the class; the word so far; that and the class.
-BITS = (16, 20, 20, 22, 23)
-#: Added to either count of a context; largest logit; cells in a piece of a table that is sent.
-PRIOR, LIMIT, PIECE = 0.4, 9.0, 1 << 16
-#: One training text in TUNE teaches the weights, against counts of the others alone, so that counts of its own words don't flatter the long contexts; then all count. Units in a step, passes over a batch.
-TUNE, STEP, PASSES = 8, 1024, 2
-GATES, APM = 24, 33
-RATE = 0.02
-BLANK, END = 32, 10
+#: Contexts; least and most bits of a context's slots: the slots grow with the training tokens between them.
+CONTEXTS, LEAST_BITS, MOST_BITS = 4, 14, 21
+#: Added to either count of a slot; logits of the levels and what parts them; code 0 is a slot never seen.
+PRIOR = 0.4
+LEVELS = np.array([0, -6.0, -3.5, -2.2, -1.25, -0.5, 0, 0.5, 1.25, 2.2, 3.5, 6.0])
+EDGES = np.array([-4.7, -2.8, -1.7, -0.85, -0.2, 0.2, 0.85, 1.7, 2.8, 4.7])
+CODES = len(LEVELS)
+#: Steps of a walk are told apart as the first, up to the third, up to the sixth, and later ones; words and bytes apart.
+DEPTHS, KINDS = 4, 2
+GRID = CODES**CONTEXTS
+#: Passes over the outcomes and outcomes in a step of the weights; weight of the mix against the outcomes of a cell.
+PASSES, STEP, RATE, TRUST = 40, 4096, 0.02, 8.0
+#: Least probability of a bit; shares in which a text's own earlier tokens are mixed in, each as likely at its start.
+LEAST, SHARES = 1e-4, (0.0, 0.05, 0.15, 0.35, 0.7, 0.95)
+#: Slots in a piece of the tables that is sent; tokens whose bits are looked at at once; bytes of text for it.
+PIECE, CHUNK, SLICE = 1 << 15, 1 << 15, 2 << 20
+BLANK = 32
+START_HASH, END_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 NODE_ODD, SLOT_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BYTE_MIX = flat.mix(np.arange(1, 257, dtype=np.uint64) * flat.M1)
 
 
-def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Steps of each byte's walk: inner node and bit by depth, and the walk's length."""
-    heap = [(int(w), i, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    child: dict[int, tuple[int, int]] = {}
-    new = 256
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        child[new] = (a[2], b[2])
-        heapq.heappush(heap, (a[0] + b[0], new, new))
-        new += 1
-    walks: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    todo = [(new - 1, [])]
-    while todo:
-        at, walk = todo.pop()
-        if at < 256:
-            walks[at] = walk
-        else:
-            todo += [(c, [*walk, (at - 256, bit)]) for bit, c in enumerate(child[at])]
-    depth = max(map(len, walks))
-    node, bit, size = np.zeros((256, depth), np.uint64), np.zeros((256, depth), bool), np.array([len(w) for w in walks])
-    for s, walk in enumerate(walks):
-        for d, (n, b) in enumerate(walk):
-            node[s, d], bit[s, d] = n, b
-    return node, bit, size
-
-
-class Spelling:
-    """Symbols of units (words or, with size -1, ends) one after another, and the context hashes of each symbol."""
-
-    def __init__(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, cls: np.ndarray):
-        n = np.maximum(size, 0) + 1
-        first = np.cumsum(n) - n
-        self.unit = np.repeat(np.arange(len(n)), n)
-        pos = np.arange(int(n.sum())) - first[self.unit]
-        inside = pos < np.maximum(size, 0)[self.unit]
-        at = np.where(inside, start[self.unit] + pos, 0)
-        sym = np.where(inside, raw[at] if len(raw) else 0, np.where(size < 0, END, BLANK)[self.unit]).astype(np.int64)
-        self.symbol, self.pos = sym, pos
-        before = []
-        for k in (1, 2, 3):
-            b = np.zeros(len(sym), np.int64)
-            b[k:] = sym[:-k]
-            b[pos < k] = BLANK if k == 1 else 0
-            before.append(b)
-        c = cls[self.unit].astype(np.int64)
-        power = np.cumprod(np.concatenate([[1], np.full(int(pos.max()) if len(pos) else 0, SLOT_ODD)]).astype(np.uint64))
-        term = BYTE_MIX[sym] * power[pos]
-        total = np.cumsum(term) - term
-        prefix = total - total[first][self.unit]
-        u = np.uint64
-        self.context = (
-            before[0].astype(u),
-            flat.mix((before[0] | before[1] << 8 | c << 16 | 1 << 40).astype(u)),
-            flat.mix((before[0] | before[1] << 8 | before[2] << 16 | c << 24 | 1 << 41).astype(u)),
-            flat.mix(prefix + u(3)),
-            flat.mix(prefix ^ (c.astype(u) + u(1)) * flat.M3),
-        )
-
-    def slots(self, which: int, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-        if which == 0:
-            return (self.context[0][rows] << np.uint64(8) | node).astype(np.int64)
-        return (((self.context[which][rows] + node * NODE_ODD) * SLOT_ODD) >> np.uint64(64 - BITS[which])).astype(np.int64)
-
-
-#: Bytes of text looked at at once: units are told apart within these.
-SLICE = 8 << 20
-
-
-def sliced(batches):
-    """The batches in parts of about SLICE bytes of their column text; a longer text is a part of its own."""
-    for b in batches:
-        text = b.column(b.schema.get_field_index("text"))
-        end = np.cumsum(np.diff(flat.text_bytes(text)[1]))
-        part = end // SLICE
-        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), b.num_rows]
-        for a, z in zip(cuts, cuts[1:]):
-            if z > a:
-                yield b.slice(a, z - a)
+class Walks:
+    """Walk of each symbol down the Huffman tree of the weights: first entry and number of entries, each (node, depth, bit) packed."""
+
+    def __init__(self, weights: np.ndarray, base: int):
+        n = len(weights)
+        heap = [(int(w), i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int64)
+        for new in range(n, 2 * n - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x] = parent[y] = new
+            side[y] = 1
+            heapq.heappush(heap, (a + b, new))
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        self.size = np.array(depth[:n], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.entry = np.zeros(int(self.size.sum()), np.int64)
+        at, here = self.size - 1, np.arange(n)
+        stage = np.array([0, 1, 1, *[2] * 3, *[3] * 99])
+        while (on := np.flatnonzero(at >= 0)).size:
+            up = parent[here[on]]
+            self.entry[self.first[on] + at[on]] = (up - n + base) << 3 | stage[np.minimum(at[on], 99)] << 1 | side[here[on]]
+            here[on] = up
+            at[on] -= 1
+        self.end = base + n - 1
+
+    def events(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each step of each symbol's walk: place of the symbol, node, stage of depth and bit."""
+        size = self.size[symbol]
+        end = np.cumsum(size)
+        entry = self.entry[np.repeat(self.first[symbol] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        return np.repeat(np.arange(len(symbol)), size), (entry >> 3).astype(np.uint64), entry >> 1 & 3, entry & 1
 
 
 class Tokens:
-    """The words and ends of a batch of texts, and its distinct units (word or end, class)."""
+    """The words of a batch of texts in order, each text's end after them."""
 
     def __init__(self, column: pa.Array):
         raw, off = flat.text_bytes(column)
         self.raw, self.n = flat.LOWER[raw], len(off) - 1
         start, end, row = flat.word_spans(self.raw, off)
-        word = flat.word_hashes(self.raw, start, end)
-        high = np.flatnonzero(self.raw > 127)
-        cls = lambda at, first: self._class(high, at, first)
-        w_cls, e_cls = cls(start, off[row] if len(row) else start), cls(off[1:], off[:-1])
-        place = np.int32 if len(raw) < 1 << 31 else np.int64
-        self.row = np.concatenate([row.astype(np.int32), np.arange(self.n, dtype=np.int32)])
-        self.word = np.concatenate([word, np.zeros(self.n, np.uint64)])
-        self.size = np.concatenate([(end - start).astype(place), np.full(self.n, -1, place)])
-        self.start = np.concatenate([start.astype(place), np.zeros(self.n, place)])
-        self.cls = np.concatenate([w_cls, e_cls])
-
-    def _class(self, high: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(high, at) - 1
-        found = (k >= 0) & (high[np.maximum(k, 0)] >= first) if len(high) else np.zeros(len(at), bool)
-        out = np.zeros(len(at), np.uint8)
-        out[found] = (self.raw[high[k[found]]] & 15) + 1
-        return out
-
-    def units(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token of each distinct unit among the tokens `use`, the unit of each of them, and how often each occurs."""
-        key = flat.mix(self.word[use] + self.cls[use].astype(np.uint64) * NODE_ODD)
-        _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        return use[first], inverse, count
+        words = np.bincount(row, minlength=self.n) if len(row) else np.zeros(self.n, np.int64)
+        self.at_word, self.at_end = np.arange(len(start)) + row, np.cumsum(words) + np.arange(self.n)
+        size = len(start) + self.n
+
+        def placed(of_words, of_ends, kind):
+            out = np.empty(size, kind)
+            out[self.at_word], out[self.at_end] = of_words, of_ends
+            return out
+
+        self.row = placed(row, np.arange(self.n), np.int64)
+        self.word = placed(flat.word_hashes(self.raw, start, end), END_HASH, np.uint64)
+        self.start, self.size = placed(start, off[1:], np.int64), placed(end - start, 0, np.int64)
+        self.bytes = np.diff(off)
+        if len(raw):
+            high = np.maximum.accumulate(np.where(self.raw > 127, np.arange(len(raw)), -1))
+            last = np.where(self.start > 0, high[self.start - 1], -1)
+            self.cls = np.where((last >= 0) & (last >= off[self.row]), (self.raw[last] & 15) + 1, 0).astype(np.uint64)
+        else:
+            self.cls = np.zeros(size, np.uint64)
 
-    def spell(self, token: np.ndarray) -> Spelling:
-        return Spelling(self.raw, self.start[token], self.size[token], self.cls[token])
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the word before each token, and of the two before; a text begins with words of its own."""
+        out = []
+        for k in (1, 2):
+            h = np.full(len(self.word), START_HASH, np.uint64)
+            same = np.flatnonzero(self.row[k:] == self.row[:-k]) + k
+            h[same] = self.word[same - k]
+            out.append(h)
+        return out[0], out[1]
 
 
 def words_of(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """The bytes of words as an Arrow array."""
     end = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(start - end[:-1], size) + np.arange(end[-1])
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(end.astype(np.int32).tobytes()), pa.py_buffer(raw[at].tobytes())])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(end.astype(np.int32).tobytes()), pa.py_buffer(flat.gather(raw, start, size).tobytes())])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c: every word of the training texts, the end not among them."""
 
     def run(batches):
-        for b in sliced(batches):
-            t = Tokens(b.column(0))
-            use = np.flatnonzero(t.size >= 0)
-            if not len(use):
+        for b in flat.sliced(batches, 0, 4 * SLICE):
+            raw, off = flat.text_bytes(b.column(0))
+            raw = flat.LOWER[raw]
+            start, end, _ = flat.word_spans(raw, off)
+            if not len(start):
                 continue
-            _, first, count = np.unique(t.word[use], return_index=True, return_counts=True)
-            at = use[first]
-            yield pa.RecordBatch.from_arrays([words_of(t.raw, t.start[at], t.size[at]), pa.array(count)], ["word", "c"])
+            _, first, count = np.unique(flat.word_hashes(raw, start, end), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([words_of(raw, start[first], (end - start)[first]), pa.array(count)], ["word", "c"])
 
     counts = docs.where("train").select("text").mapInArrow(run, "word binary, c long")
     return materialise(counts.groupBy("word").agg(F.sum("c").alias("c")))
 
 
 class Mixer:
-    """The model: context tables, weights and the last table. Of fixed size, whatever the corpus."""
+    """The model: the words that have walks, the context tables and the probabilities of what the contexts say together."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, ends: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, ends: int, others: int):
         raw = np.frombuffer(b"".join(words), np.uint8)
         size = np.array([len(w) for w in words], np.int64)
-        self.hashes = flat.word_hashes(raw, np.cumsum(size) - size, np.cumsum(size))
-        order = np.argsort(self.hashes)
-        self.hashes, self.count = self.hashes[order], counts[order]
-        self.words = [words[i] for i in order]
-        seen = np.bincount(raw, np.repeat(counts, size), 256) + 1
-        seen[BLANK] += counts.sum()
-        seen[END] += ends
-        self.walk = huffman(seen)
-        self.logit: list[np.ndarray] = []
-        self.weight = np.full((GATES, len(BITS) + 1), 0.3, np.float32)
-        self.weight[:, -1] = 0
-        grid = np.linspace(-8, 8, APM)
-        self.apm = np.tile(1 / (1 + np.exp(-grid)), (GATES, 1))
+        self.n, self.count, self.ends = len(words), counts.astype(np.int64), ends
+        self.end, self.escape = self.n, self.n + 1
+        self._file(flat.word_hashes(raw, np.cumsum(size) - size, np.cumsum(size)))
+        self.words = Walks(np.concatenate([self.count, [max(ends, 1), max(others, 1)]]), 0)
+        self.letters = Walks(np.bincount(raw, minlength=256) + 1, self.words.end)
+        events = max(16 * (int(self.count.sum()) + ends + others), 2)
+        self.bits = int(np.clip(int(events - 1).bit_length(), LEAST_BITS, MOST_BITS))
+        self.codes: list[np.ndarray] = []
+        self.log = np.full((KINDS * DEPTHS * GRID, 2), np.log10(0.5))
+
+    def _file(self, hashes: np.ndarray) -> None:
+        """An open table of the words' hashes, at most a quarter full; 0 is a free slot."""
+        bits = max(8, (4 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        key, place = [0] * (1 << bits), [-1] * (1 << bits)
+        for i, h in enumerate(hashes.tolist()):
+            at = h >> (64 - bits)
+            while key[at]:
+                at = (at + 1) & ((1 << bits) - 1)
+            key[at], place[at] = h, i
+        self.key, self.at = np.array(key, np.uint64), np.array(place, np.int64)
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each frequent word, -1 of others."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def steps(self, s: Spelling):
-        """Of each depth: the symbols that walk so far, their nodes and bits."""
-        node, bit, size = self.walk
-        rows = np.arange(len(s.symbol))
-        for d in range(node.shape[1]):
-            rows = rows[size[s.symbol[rows]] > d]
-            if not len(rows):
-                return
-            yield rows, node[s.symbol[rows], d], bit[s.symbol[rows], d]
-
-    def tally(self, s: Spelling, count: np.ndarray, which: tuple[int, ...], tables: dict[int, np.ndarray]) -> None:
-        """Adds the bits of units that occur count times to tables[which], two cells a slot."""
-        for rows, node, bit in self.steps(s):
-            weight = count[s.unit[rows]]
-            for w in which:
-                np.add.at(tables[w], 2 * s.slots(w, rows, node) + bit, weight)
-
-    def set_tables(self, tables: dict[int, np.ndarray]) -> None:
-        self.logit = []
-        for w in range(len(BITS)):
-            logit = np.empty(1 << BITS[w], np.float16)
-            for at in range(0, len(logit), 1 << 18):
-                cells = tables[w][2 * at : 2 * (at + (1 << 18))].astype(np.float32)
-                logit[at : at + (1 << 18)] = np.clip(np.log((cells[1::2] + PRIOR) / (cells[0::2] + PRIOR)), -LIMIT, LIMIT)
-            self.logit.append(logit)
-
-    def inputs(self, s: Spelling, rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the contexts, with a constant, and the gate: which of the long contexts are known, and how far the word has come."""
-        x = np.empty((len(rows), len(BITS) + 1), np.float32)
-        for w in range(len(BITS)):
-            x[:, w] = self.logit[w][s.slots(w, rows, node)]
-        x[:, -1] = 0.3
-        pos = s.pos[rows]
-        gate = (x[:, 2] != 0) + 2 * (x[:, 3] != 0) + 4 * (x[:, 4] != 0) + 8 * ((pos > 0).astype(np.int64) + (pos > 2))
-        return x, gate
-
-    def learn(self, s: Spelling, count: np.ndarray, state: dict) -> None:
-        """One step: predict, note what came true for the last table, and move the weights."""
-        grad, total = np.zeros(self.weight.shape), float(count.sum())
-        for rows, node, bit in self.steps(s):
-            x, gate = self.inputs(s, rows, node)
-            weight = count[s.unit[rows]].astype(np.float64)
-            t = np.clip((x * self.weight[gate]).sum(1), -12, 12)
-            error = weight * (bit - 1 / (1 + np.exp(-t)))
-            for k in range(x.shape[1]):
-                grad[:, k] += np.bincount(gate, error * x[:, k], GATES)
-            cell = gate * APM + np.rint((np.clip(t, -8, 8) + 8) * (APM - 1) / 16).astype(np.int64)
-            state["n"] += np.bincount(cell, weight, GATES * APM)
-            state["hit"] += np.bincount(cell, weight * bit, GATES * APM)
-        grad /= max(total, 1.0)
-        state["step"] += 1
-        state["m"] = 0.9 * state["m"] + 0.1 * grad
-        state["v"] = 0.99 * state["v"] + 0.01 * grad * grad
-        m, v = state["m"] / (1 - 0.9 ** state["step"]), state["v"] / (1 - 0.99 ** state["step"])
-        self.weight += (RATE * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
-
-    def log10(self, s: Spelling, n: int) -> np.ndarray:
-        """Log10 probability of each of n units."""
-        out = np.zeros(n)
-        for rows, node, bit in self.steps(s):
-            x, gate = self.inputs(s, rows, node)
-            t = np.clip((x * self.weight[gate]).sum(1), -12, 12).astype(np.float64)
-            place = (np.clip(t, -8, 8) + 8) * (APM - 1) / 16
-            low = np.minimum(place.astype(np.int64), APM - 2)
-            share = place - low
-            refined = self.apm[gate, low] * (1 - share) + self.apm[gate, low + 1] * share
-            p = np.clip(0.5 / (1 + np.exp(-t)) + 0.5 * refined, 1e-6, 1 - 1e-6)
-            out += np.bincount(s.unit[rows], np.log10(np.where(bit, p, 1 - p)), n)
+        """Number of each word that has a walk, -1 of others."""
+        at = (hashes >> self.shift).astype(np.int64)
+        found = self.key[at]
+        out = np.where(found == hashes, self.at[at], -1)
+        on = np.flatnonzero((found != hashes) & (found != 0))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.key) - 1)
+            found = self.key[at[on]]
+            hit = found == hashes[on]
+            out[on[hit]] = self.at[at[on[hit]]]
+            on = on[~hit & (found != 0)]
+        return out
+
+    def symbols(self, t: Tokens) -> np.ndarray:
+        out = self.place(t.word)
+        out[out < 0] = self.escape
+        out[t.at_end] = self.end
         return out
 
+    def events(self, t: Tokens, symbol: np.ndarray):
+        """Bits of the tokens, a chunk at a time: first token of the chunk, token of each bit from there, kind and stage, bit, and the slots of the contexts."""
+        one, two = t.before()
+        for a in range(0, len(symbol), CHUNK):
+            z = min(a + CHUNK, len(symbol))
+            at, node, stage, bit = self.words.events(symbol[a:z])
+            context = (None, (t.cls[a:z] + np.uint64(1)) * flat.M3, flat.mix(one[a:z] + flat.M1), flat.mix(one[a:z] * flat.M3 + flat.mix(two[a:z])))
+            yield a, at, stage, bit, [self._slots(c, at, node) for c in context]
+            spelt = np.flatnonzero(symbol[a:z] == self.escape) + a
+            if len(spelt):
+                unit, byte, context = self._spelling(t, spelt)
+                for i in range(0, len(byte), CHUNK):
+                    at, node, stage, bit = self.letters.events(byte[i : i + CHUNK])
+                    yield a, unit[i : i + CHUNK][at] - a, stage + DEPTHS, bit, [self._slots(c[i : i + CHUNK], at, node) for c in context]
+
+    def _spelling(self, t: Tokens, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """The bytes of the tokens and a blank after each: token, byte and contexts of each."""
+        size = t.size[token] + 1
+        first = np.cumsum(size) - size
+        unit = np.repeat(np.arange(len(token)), size)
+        pos = np.arange(len(unit)) - first[unit]
+        inside = pos < size[unit] - 1
+        byte = np.where(inside, t.raw[np.where(inside, t.start[token][unit] + pos, 0)], BLANK).astype(np.int64)
+        known = np.zeros(len(byte), np.uint64)
+        contexts = []
+        for k in (1, 2, 3):
+            b = np.zeros(len(byte), np.uint64)
+            b[k:] = byte[:-k]
+            b[pos < k] = 0
+            known |= b << np.uint64(8 * (k - 1))
+            contexts.append(flat.mix(known | (t.cls[token][unit] + np.uint64(32 * k)) << np.uint64(24)))
+        power = np.cumprod(np.concatenate([[1], np.full(int(pos.max()), SLOT_ODD)]).astype(np.uint64))
+        total = np.cumsum(BYTE_MIX[byte] * power[pos]) - BYTE_MIX[byte] * power[pos]
+        contexts.append(flat.mix(total - total[first][unit] + np.uint64(3)))
+        return token[unit], byte, tuple(contexts)
+
+    def _slots(self, context: np.ndarray | None, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+        key = node * NODE_ODD
+        if context is not None:
+            key += context[at]
+        return ((key * SLOT_ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def cells(self, codes: list[np.ndarray], stage: np.ndarray) -> np.ndarray:
+        cell = stage.copy()
+        for c in codes:
+            cell *= CODES
+            cell += c
+        return cell
+
+    def learn(self, cell: np.ndarray, count: np.ndarray) -> None:
+        """Weights by gate from the outcomes (count of bits 0 and 1) of the cells, a part after the other, and the probabilities of all cells."""
+        every = np.arange(KINDS * DEPTHS * GRID)
+        code = np.stack([every // CODES ** (CONTEXTS - 1 - k) % CODES for k in range(CONTEXTS)], 1)
+        gate = every // GRID * 4 + (code[:, 2] > 0) + 2 * (code[:, 3] > 0)
+        x = np.concatenate([LEVELS[code], np.full((len(every), 1), 0.3)], 1)
+        n_gates = KINDS * DEPTHS * 4
+        w = np.full((n_gates, CONTEXTS + 1), 0.3)
+        w[:, -1] = 0
+        m, v, step = np.zeros_like(w), np.zeros_like(w), 0
+        order = np.random.default_rng(0).permutation(len(cell))
+        whole = np.maximum(np.bincount(gate[cell], count.sum(1), n_gates), 1.0)
+        for done in range(PASSES):
+            for at in range(0, len(order), STEP):
+                pick = order[at : at + STEP]
+                g, xs, c = gate[cell[pick]], x[cell[pick]], count[pick]
+                p = 1 / (1 + np.exp(-np.clip((xs * w[g]).sum(1), -12, 12)))
+                error = c[:, 1] - c.sum(1) * p
+                grad = np.stack([np.bincount(g, error * xs[:, k], n_gates) for k in range(xs.shape[1])], 1) / whole[:, None] * max(1.0, len(order) / STEP)
+                step += 1
+                m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+                w += RATE * (1 - done / PASSES) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+        p = 1 / (1 + np.exp(-np.clip((x * w[gate]).sum(1), -12, 12)))
+        seen = np.zeros((len(every), 2))
+        seen[cell] = count
+        p = np.clip((seen[:, 1] + TRUST * p) / (seen.sum(1) + TRUST), LEAST, 1 - LEAST)
+        self.log = np.log10(np.stack([1 - p, p], 1))
+
+    def log10(self, t: Tokens, symbol: np.ndarray) -> np.ndarray:
+        """Log10 probability of each token."""
+        out = np.zeros(len(symbol))
+        table = self.log.ravel()
+        for a, at, stage, bit, slots in self.events(t, symbol):
+            cell = self.cells([c[s] for c, s in zip(self.codes, slots)], stage)
+            n = min(CHUNK, len(symbol) - a)
+            out[a : a + n] += np.bincount(at, table[2 * cell + bit], n)
+        return out
 
-def _pieces(tables: dict[int, np.ndarray]):
-    for which, table in tables.items():
-        for at in range(0, len(table), PIECE):
-            part = table[at : at + PIECE]
-            if part.any():
-                yield which, at // PIECE, zlib.compress(part.astype(np.uint32 if part.max() < 1 << 32 else np.uint64).tobytes(), 1), bool(part.max() >= 1 << 32)
+
+def adapted(t: Tokens, log: np.ndarray) -> np.ndarray:
+    """Log10 probability of each text from those of its tokens, mixed online with the text's own earlier tokens.
+
+    A share s gives a token (1 - s) of the model's probability and s of how
+    often the text has held it so far. A text's probability is the mean over
+    the shares of their products: as if each token were mixed by weights that
+    follow how well the shares have done before it.
+    """
+    key = flat.mix(t.word + t.row.astype(np.uint64) * NODE_ODD)
+    order = np.argsort(key, kind="stable")
+    place = np.arange(len(order))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    before = np.empty(len(order), np.int64)
+    before[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    begin = t.at_end - (np.bincount(t.row, minlength=t.n) - 1)
+    again = np.flatnonzero(before)
+    own = np.log10(before[again] / (again - begin[t.row[again]]))
+    total = np.empty((len(SHARES), t.n))
+    for k, share in enumerate(SHARES):
+        each = log + np.log10(1 - share)
+        if share:
+            a, b = each[again], own + np.log10(share)
+            high = np.maximum(a, b)
+            each[again] = high + np.log10(1 + 10.0 ** (np.minimum(a, b) - high))
+        total[k] = np.bincount(t.row, each, t.n)
+    best = total.max(0)
+    return best + np.log10((10.0 ** (total - best)).mean(0))
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Codes of slots with these counts of bits 0 and 1."""
+    n = counts.astype(np.float64)
+    code = np.searchsorted(EDGES, np.log((n[..., 1] + PRIOR) / (n[..., 0] + PRIOR))) + 1
+    return np.where(n.sum(-1) > 0, code, 0).astype(np.uint8)
+
+
+def _packed(cells: np.ndarray) -> tuple[bytes, int]:
+    """Counts in as few bytes each as the largest needs, compressed, and that number."""
+    top = int(cells.max())
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return pa.compress(cells.astype(f"u{width}").tobytes(), codec="zstd", asbytes=True), width
 
 
 def _added(batches):
-    """Sums of pieces that come in order of (which, part); one piece is held at a time."""
+    """Codes of the sums of pieces that come in order of (which, part): of either half and of both; one piece is held at a time."""
     now = total = None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["which", "part", "cells"])
+        a, b = total
+        code = np.stack([levels(x) for x in (a, b, a + b)])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([code.tobytes()], pa.binary())], ["which", "part", "codes"])
 
     for b in batches:
-        for which, part, cells, wide in zip(*[c.to_pylist() for c in b.columns]):
-            got = np.frombuffer(zlib.decompress(cells), np.uint64 if wide else np.uint32)
+        for which, part, cells, width, slots in zip(*[c.to_pylist() for c in b.columns]):
+            got = np.frombuffer(pa.decompress(cells, decompressed_size=4 * slots * width, codec="zstd"), f"u{width}").reshape(2, slots, 2)
             if now != (which, part):
                 if now is not None:
                     yield out()
-                now, total = (which, part), got.astype(np.uint64)
+                now, total = (which, part), got.astype(np.int64)
             else:
                 total += got
     if now is not None:
         yield out()
 
 
-#: Added to the number of a table of the texts that tune.
-TUNED = 100
-
+def gather_tables(docs: DataFrame, model: Mixer) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Codes of the contexts' slots from the counts of all training texts: of the two halves, one after the other, and of both.
 
-def gather_tables(docs: DataFrame, model: Mixer) -> dict[int, np.ndarray]:
-    """Counts over all training texts: of the contexts of whole texts, and of frequent words and ends by class (table 9); those that tune have tables of their own, TUNED later.
-
-    Each task sends its own counts once, in compressed pieces, so what is
-    shuffled grows with the input; their sum has the model's fixed size.
+    Each task sends the counts of its own texts once, in compressed pieces, so
+    what is shuffled grows with the input; executors add them up, and the
+    driver gets a byte a slot.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    cells = {w: 2 << BITS[w] for w in (0, 1, 2)} | {9: (len(model.words) + 1) * CLASSES}
+    sent = Shared(docs.sparkSession, model)
+    slots = 1 << model.bits
+    size = min(PIECE, slots)
 
     def run(batches):
         m = sent.value
-        both = [{w: np.zeros(n, np.int64) for w, n in cells.items()} for _ in (0, 1)]
-        for b in sliced(batches):
+        tables = [np.zeros(4 * slots, np.int32) for _ in range(CONTEXTS)]
+        for b in flat.sliced(batches, 0, SLICE):
             t = Tokens(b.column(0))
-            tuning = b.column(1).to_numpy(zero_copy_only=False)[t.row]
-            for tables, use in zip(both, (~tuning, tuning)):
-                token, _, count = t.units(np.flatnonzero(use))
-                for at in range(0, len(token), 1 << 16):
-                    m.tally(t.spell(token[at : at + (1 << 16)]), count[at : at + (1 << 16)], (0, 1, 2), tables)
-                place = np.where(t.size[token] < 0, len(m.words), m.place(t.word[token]))
-                ok = place >= 0
-                np.add.at(tables[9], place[ok] * CLASSES + t.cls[token[ok]], count[ok])
-        rows = list(_pieces(both[0] | {w + TUNED: x for w, x in both[1].items()}))
-        for r in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.int32()), pa.array([r[2]], pa.binary()), pa.array([r[3]])], ["which", "part", "cells", "wide"])
-
-    parts = docs.where("train").select("text", "tune").mapInArrow(run, "which int, part int, cells binary, wide boolean")
-    summed = parts.repartition("which", "part").sortWithinPartitions("which", "part").mapInArrow(_added, "which int, part int, cells binary")
-    tables = {w + t: np.zeros(n, np.uint64) for w, n in cells.items() for t in (0, TUNED)}
-    for r in summed.toLocalIterator():
-        got = np.frombuffer(r["cells"], np.uint64)
-        tables[r["which"]][r["part"] * PIECE : r["part"] * PIECE + len(got)] = got
+            half = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[t.row] * (2 * slots)
+            for a, at, _, bit, found in m.events(t, m.symbols(t)):
+                cell = half[a + at] + bit
+                for table, s in zip(tables, found):
+                    np.add.at(table, 2 * s + cell, 1)
+        for which, table in enumerate(tables):
+            table = table.reshape(2, slots, 2)
+            for part in range(slots // size):
+                piece = table[:, part * size : (part + 1) * size]
+                if piece.any():
+                    cells, width = _packed(piece)
+                    yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([cells], pa.binary()), pa.array([width], pa.int32()), pa.array([size], pa.int32())], ["which", "part", "cells", "width", "slots"])
+
+    parts = docs.where("train").select("text", "half").mapInArrow(run, "which int, part int, cells binary, width int, slots int")
+    summed = parts.repartition("which", "part").sortWithinPartitions("which", "part").mapInArrow(_added, "which int, part int, codes binary")
+    halves, both = [np.zeros(2 * slots, np.uint8) for _ in range(CONTEXTS)], [np.zeros(slots, np.uint8) for _ in range(CONTEXTS)]
+    path = shared_dir(docs.sparkSession)
+    got = materialise(summed, path).toArrow()  # three bytes a slot, at most MOST_BITS of them a context
+    for which, part, codes in zip(*(got[c].to_pylist() for c in ("which", "part", "codes"))):
+        code = np.frombuffer(codes, np.uint8).reshape(3, size)
+        for k, (to, at) in enumerate(((halves, 0), (halves, slots), (both, 0))):
+            to[which][at + part * size : at + (part + 1) * size] = code[k]
+    remove(docs.sparkSession, path)
     sent.unpersist()
-    return tables
-
-
-def whole_words(model: Mixer, by_class: np.ndarray) -> dict[int, np.ndarray]:
-    """Tables of the two word contexts, from the counts of frequent words and ends by class."""
-    raw = np.frombuffer(b"".join(model.words), np.uint8)
-    size = np.array([len(w) for w in model.words], np.int64)
-    start = np.concatenate([np.cumsum(size) - size, [0]])
-    size = np.concatenate([size, [-1]])
-    tables = {w: np.zeros(2 << BITS[w], np.uint32) for w in (3, 4)}
-    count = by_class.reshape(-1, CLASSES).astype(np.int64)
-    total, step = np.minimum(count.sum(1), 1 << 30).astype(np.uint32), 1 << 14
-    for at in range(0, len(size), step):
-        i = np.arange(at, min(at + step, len(size)))
-        model.tally(Spelling(raw, start[i], size[i], np.zeros(len(i), np.int64)), total[i], (3,), tables)
-    word, cls = np.nonzero(count)
-    for at in range(0, len(word), 4 * step):
-        w, c = word[at : at + 4 * step], cls[at : at + 4 * step]
-        model.tally(Spelling(raw, start[w], size[w], c), np.minimum(count[w, c], 1 << 30).astype(np.uint32), (4,), tables)
-    return tables
-
-
-def learn_weights(docs: DataFrame, model: Mixer) -> None:
-    """Each task learns online over its texts that tune; the weights are averaged and the outcomes added up, in order of the tasks."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return halves, both
 
-    def run(batches):
-        from pyspark import TaskContext
 
+def gather_outcomes(docs: DataFrame, model: Mixer) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of what the contexts say together, each text's from the counts of the other half, and how often either bit came true there, over all training texts."""
+    sent = Shared(docs.sparkSession, model)
+
+    def run(batches):
         m = sent.value
-        m.weight = np.full_like(m.weight, 0.3)
-        m.weight[:, -1] = 0
-        state = {"n": np.zeros(GATES * APM), "hit": np.zeros(GATES * APM), "step": 0, "m": np.zeros(m.weight.shape), "v": np.zeros(m.weight.shape)}
-        total = 0
-        for b in sliced(batches):
+        slots = 1 << m.bits
+        seen = np.zeros(2 * KINDS * DEPTHS * GRID, np.int64)
+        for b in flat.sliced(batches, 0, SLICE):
             t = Tokens(b.column(0))
-            token, _, count = t.units(np.arange(len(t.row)))
-            order = np.argsort(token % 7919, kind="stable")  # mixes rare and frequent units in every step
-            token, count = token[order], count[order]
-            for at in [*range(0, len(token), STEP)] * PASSES:
-                m.learn(t.spell(token[at : at + STEP]), count[at : at + STEP], state)
-            total += int(count.sum())
-        if total:
-            data = np.concatenate([m.weight.ravel().astype(float), state["n"], state["hit"]])
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total]), pa.array([data.tobytes()], pa.binary())], ["task", "total", "data"])
-
-    rows = materialise(docs.where("train and tune").select("text").mapInArrow(run, "task long, total long, data binary")).orderBy("task")
-    size = model.weight.size
-    weights, n, hit, total = np.zeros(size), np.zeros(GATES * APM), np.zeros(GATES * APM), 0
-    for r in rows.toLocalIterator():  # a few KB a task, one at a time
-        data = np.frombuffer(r["data"], np.float64)
-        weights += r["total"] * data[:size]
-        n += data[size : size + len(n)]
-        hit += data[size + len(n) :]
-        total += r["total"]
+            other = (1 - b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))[t.row] * slots
+            for a, at, stage, bit, found in m.events(t, m.symbols(t)):
+                shift = other[a + at]
+                cell = m.cells([c[s + shift] for c, s in zip(m.codes, found)], stage)
+                np.add.at(seen, 2 * cell + bit, 1)
+        count = seen.reshape(-1, 2)
+        at = np.flatnonzero(count.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at, 0]), pa.array(count[at, 1])], ["cell", "n0", "n1"])
+
+    parts = docs.where("train").select("text", "half").mapInArrow(run, "cell long, n0 long, n1 long")
+    got = parts.groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("cell")  # at most KINDS * DEPTHS * GRID rows
     sent.unpersist()
-    if total:
-        model.weight = (weights / total).reshape(model.weight.shape).astype(np.float32)
-        model.apm = ((hit + 20 * model.apm.ravel()) / (n + 20)).reshape(model.apm.shape)
-
-
-def train(docs: DataFrame, words: DataFrame) -> tuple[Mixer, int]:
-    """Model of the training texts of docs (text, train, tune), and the number of ends."""
-    ends = docs.where("train").count()
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    model = Mixer([bytes(w) for w in top["word"].to_pylist()], top["c"].to_numpy(), ends)
-    tables = gather_tables(docs, model)
-    rest = {w: x for w, x in tables.items() if w < TUNED}
-    model.set_tables(rest | whole_words(model, rest[9]))
-    learn_weights(docs, model)
-    every = {w: rest[w] + tables[w + TUNED] for w in rest}
-    model.set_tables(every | whole_words(model, every[9]))
-    model.words = []  # no longer needed
-    return model, ends
-
-
-def score_texts(docs: DataFrame, model: Mixer, ends: int, n_train: int, n_distinct: int) -> DataFrame:
-    """rid, word, k, n_tokens, n_known, base, score, n_bytes: a row a text, with the sums over ends and frequent words, and a row for each rare word of a text, with how often it occurs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return got["cell"].to_numpy(), np.stack([got["n0"].to_numpy(), got["n1"].to_numpy()], 1).astype(np.float64)
+
+
+def train(docs: DataFrame, words: DataFrame, ends: int, n_words: int) -> Mixer:
+    """Model of the training texts of docs (text, train, half), of which words has the counts."""
+    top = words.where("c > 1").orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    counts = top["c"].to_numpy()
+    model = Mixer([bytes(w) for w in top["word"].to_pylist()], counts, ends, n_words - int(counts.sum()))
+    model.codes, both = gather_tables(docs, model)
+    model.learn(*gather_outcomes(docs, model))
+    model.codes = both
+    return model
+
+
+def score_texts(docs: DataFrame, model: Mixer, n_train: int, n_distinct: int) -> DataFrame:
+    """rid, doc_id, word, k, n_tokens, n_known, base, score, n_bytes: a row a text, with the sums over ends and words that have walks, and a row for each other word of a text, with how often it occurs."""
+    sent = Shared(docs.sparkSession, model)
     whole = n_train + 0.5 * (n_distinct + 1)
 
     def run(batches):
         m = sent.value
-        for b in sliced(batches):
+        counts = np.concatenate([m.count, [m.ends, 0]])
+        base_of = np.log10((counts + 0.5) / whole)
+        base_of[m.escape] = 0.0  # joined later
+        for b in flat.sliced(batches, 1, SLICE):
             t = Tokens(b.column(1))
-            token, unit, _ = t.units(np.arange(len(t.row)))
-            log = np.concatenate([m.log10(t.spell(token[at : at + (1 << 15)]), len(token[at : at + (1 << 15)])) for at in range(0, len(token), 1 << 15)] or [np.zeros(0)])
-            place = m.place(t.word[token])
-            is_end = t.size[token] < 0
-            c = np.where(is_end, ends, np.where(place >= 0, m.count[np.maximum(place, 0)] if len(m.count) else 0, -1))
-            base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / whole), 0.0)
-            sums = [np.bincount(t.row, x[unit], t.n) for x in (np.ones(len(token)), c > 0, base, log)]
-            bytes_ = np.diff(flat.text_bytes(b.column(1))[1])
+            symbol = m.symbols(t)
+            doc_id = b.column(2)
+            sums = [np.bincount(t.row, x, t.n) for x in (np.ones(len(symbol)), counts[symbol] > 0, base_of[symbol])]
+            sums.append(adapted(t, m.log10(t, symbol)))
             rid = b.column(0).to_numpy()
-            yield _score_rows(rid, pa.nulls(t.n, pa.binary()), np.zeros(t.n, np.int64), sums, bytes_)
-            rare = np.flatnonzero(c[unit] < 0)
+            yield _score_rows(rid, doc_id, pa.nulls(t.n, pa.binary()), np.zeros(t.n, np.int64), sums, t.bytes)
+            rare = np.flatnonzero(symbol == m.escape)
             _, first, count = np.unique(flat.mix(t.word[rare] + t.row[rare].astype(np.uint64) * NODE_ODD), return_index=True, return_counts=True)
             at = rare[first]
             if len(at):
-                none = [np.zeros(len(at))] * 4
-                yield _score_rows(rid[t.row[at]], words_of(t.raw, t.start[at], t.size[at]), count, none, np.zeros(len(at), np.int64))
+                yield _score_rows(rid[t.row[at]], pa.nulls(len(at), doc_id.type), words_of(t.raw, t.start[at], t.size[at]), count, [np.zeros(len(at))] * 4, np.zeros(len(at), np.int64))
 
-    return materialise(docs.select("rid", "text").mapInArrow(run, "rid long, word binary, k long, n_tokens long, n_known long, base double, score double, n_bytes long"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id")  # the number is used in this one pass only
+    return materialise(numbered.mapInArrow(run, f"rid long, doc_id {kind}, word binary, k long, n_tokens long, n_known long, base double, score double, n_bytes long"))
 
 
-def _score_rows(rid, word, k, sums, n_bytes) -> pa.RecordBatch:
-    columns = [pa.array(rid), word, pa.array(k.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2].astype(float)), pa.array(sums[3].astype(float)), pa.array(n_bytes.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["rid", "word", "k", "n_tokens", "n_known", "base", "score", "n_bytes"])
+def _score_rows(rid, doc_id, word, k, sums, n_bytes) -> pa.RecordBatch:
+    columns = [pa.array(rid), doc_id, word, pa.array(k.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2].astype(float)), pa.array(sums[3].astype(float)), pa.array(n_bytes.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "word", "k", "n_tokens", "n_known", "base", "score", "n_bytes"])
 
 
 def held_out(col: str = "doc_id"):
@@ -459,24 +478,24 @@ def held_out(col: str = "doc_id"):
 def language_scores(docs: DataFrame) -> DataFrame:
     """op6: base and model scores of every row of docs (doc_id, text), learned from those not held out.
 
-    Rare words meet their counts in a join on the word, frequent ones in a
-    table of fixed size. Null and empty texts have the end alone; repeated rows
-    are separate; without training rows N is 0 and the model is uniform over
-    its tree's bits; an empty table gives an empty result.
+    Words without a walk meet their counts in a join on the word, the others in
+    a table of bounded size. Null and empty texts have the end alone; a null id
+    is one more id; repeated rows are separate; without training rows N is 0
+    and every bit has one half; an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "text", (~held_out()).alias("train"), (F.pmod(F.xxhash64("doc_id"), TUNE) == 0).alias("tune")).withColumn("rid", F.monotonically_increasing_id())
+    half = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit(1)).cast("int")
+    rows = docs.select("doc_id", "text", (~held_out()).alias("train"), half.alias("half"))
     words = count_words(rows)
-    model, ends = train(rows, words)
+    ends = rows.where("train").count()
     n_words, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train, n_distinct = n_words + ends, n_distinct + (ends > 0)
-    scored = score_texts(rows, model, ends, n_train, n_distinct)
+    scored = score_texts(rows, train(rows, words, ends, n_words), n_train, n_distinct)
     rare = scored.where("word is not null").select("rid", "word", "k").join(words, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     whole = n_train + 0.5 * (n_distinct + 1)
     rare = rare.select("rid", F.when(c > 0, F.col("k")).otherwise(0).alias("n_known"), (F.col("k") * F.log10((c + 0.5) / F.lit(whole))).alias("base"))
     rare = rare.groupBy("rid").agg(F.sum("n_known").alias("r_known"), F.sum("base").alias("r_base"))
-    ids = materialise(rows.select("rid", "doc_id"), shared_dir(docs.sparkSession))
-    out = scored.where("word is null").join(rare, "rid", "left").join(ids, "rid")
+    out = scored.where("word is null").drop("word", "k").join(rare, "rid", "left")
     return out.select(
         "doc_id",
         held_out().alias("held_out"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,20 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A model of bounded size for the executors, its class shipped by value with it, so that they need no copy of the library."""
+
+    def __init__(self, spark: SparkSession, model):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    @property
+    def value(self):
+        return pickle.loads(self._sent.value)
+
+    def unpersist(self) -> None:
+        self._sent.unpersist()
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Hint a broadcast if the counted rows fit BROADCAST_BYTES; else leave the join to be shuffled."""
     rows = df.count() if rows is None else rows
