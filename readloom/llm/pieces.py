@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import flat
+
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-#: Segments of a batch are encoded anew once the memo of a task holds so many.
+#: Segments that a task remembers; beyond, it forgets them and starts anew.
 MEMO = 400_000
+#: Bytes of text whose ids are gathered at once, and segments encoded at once.
+SLICE, STEP = 2 << 20, 1 << 16
 NONE = np.int32(1 << 30)
 
 
@@ -36,19 +38,17 @@ class PieceModel:
         if len(norm.precompiled_charsmap) or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not proto.trainer_spec.byte_fallback:
             raise ValueError("the model needs identity normalisation, a dummy prefix and byte fallback")
         self.strings = [p.piece for p in proto.pieces]
-        self.plain = [p.replace(SPACE, " ") for p in self.strings]
-        self.plain_len = np.array([len(p) for p in self.plain], np.int64)
-        self.digits = [str(i) for i in range(len(self.plain))]
-        self.digits_len = np.array([len(d) + 1 for d in self.digits], np.int64)
+        self.decimals = _table([b"%d," % i for i in range(len(self.strings))])
         ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("a piece has a space mark after another character")
         self.bytes = np.full(256, -1, np.int64)
-        self.byte_of = {}
+        spelt = [p.replace(SPACE, " ").encode("utf-8") for p in self.strings]
         for i, p in enumerate(proto.pieces):
             if p.type == BYTE:
                 self.bytes[int(p.piece[3:5], 16)] = i
-                self.byte_of[i] = int(p.piece[3:5], 16)
+                spelt[i] = bytes([int(p.piece[3:5], 16)])
+        self.spelt = _table(spelt)
         self.n = len(self.strings)
         symbol = dict(ids)
         for c in sorted({c for p in ids for c in p} - ids.keys()):
@@ -99,16 +99,20 @@ class PieceModel:
             on = on[(found != key[on]) & (found >= 0)]
         return rank, made
 
-    def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all segments, flat, and the number of each; a segment is a run of space marks and what follows up to the next.
+    def encode_segments(self, text: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, flat, and the number of each; text holds them one after another, size their bytes.
 
-        Each round finds the least pair rank of each segment and merges its
+        A segment is a run of spaces and what follows up to the next. Each
+        round finds the least pair rank of each segment and merges its
         occurrences from the left at once, up to the first merge that makes a
         pair of that rank or a better one: a queue would take that pair next.
         """
-        text = "".join(segments)
-        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        seg = np.repeat(np.arange(len(segments), dtype=np.int32), [len(s) for s in segments])
+        n_segments = len(size)
+        code = np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+        code[code == 32] = ord(SPACE)
+        leads = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+        chars = np.diff(leads[np.concatenate([[0], np.cumsum(size)])])
+        seg = np.repeat(np.arange(n_segments, dtype=np.int32), chars)
         at = np.minimum(np.searchsorted(self.char_code, code), len(self.char_code) - 1)
         sym = np.where(self.char_code[at] == code, self.char_id[at], -1 - code).astype(np.int32)  # below 0: a character without a piece
         out_sym, out_seg, out_at = [], [], []
@@ -137,10 +141,10 @@ class PieceModel:
             new = np.flatnonzero(take)
             rank[new], made[new] = self._ranks(sym, seg, new)
         if not out_sym:
-            return np.zeros(0, np.int64), np.zeros(len(segments), np.int64)
+            return np.zeros(0, np.int64), np.zeros(n_segments, np.int64)
         sym, seg, where = map(np.concatenate, (out_sym, out_seg, out_at))
         order = np.argsort(where, kind="stable")
-        return self._ids(sym[order], seg[order], len(segments))
+        return self._ids(sym[order], seg[order], n_segments)
 
     def _ranks(self, sym: np.ndarray, seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of the pairs that start at `at`; a segment's last symbol starts none."""
@@ -200,68 +204,94 @@ class PieceModel:
             sym, seg = out, np.repeat(seg, size)
         return sym, np.bincount(seg, minlength=n)
 
+    def text_bytes(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of the texts of `size` ids each, one after another, and n + 1 offsets; byte pieces become bytes, space marks spaces, the dummy prefix goes."""
+        return _joined(ids, size, *self.spelt, drop_first=32)
+
+    def numbers(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text in decimal, joined by commas, and n + 1 offsets."""
+        raw, off = _joined(ids, size, *self.decimals)
+        filled = off[1:] > off[:-1]
+        keep = np.ones(len(raw), bool)
+        keep[off[1:][filled] - 1] = False  # the last comma of each
+        return raw[keep], off - np.concatenate([[0], np.cumsum(filled)])
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: byte pieces become characters, space marks spaces, the dummy prefix goes."""
-        text = self.raw(ids)
-        return text[1:] if text.startswith(" ") else text
+        """The text of ids; bytes that are no UTF-8 become the replacement character."""
+        return self.text_bytes(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes().decode("utf-8", errors="replace")
 
-    def raw(self, ids: list[int]) -> str:
-        """As decode, with the dummy prefix."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else self.plain[i].encode("utf-8")
-        return out.decode("utf-8", errors="replace")
 
+def _table(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(x) for x in strings], np.int64)
+    return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size
 
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+def _joined(ids, size, data, first, length, drop_first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of the ids of each text, one after another, and n + 1 offsets; a text's first byte goes if it is drop_first."""
+    raw = flat.gather(data, first[ids], length[ids])
+    off = np.concatenate([[0], np.cumsum(length[ids])])[np.concatenate([[0], np.cumsum(size)])]
+    if drop_first is not None:
+        filled = np.flatnonzero(off[1:] > off[:-1])
+        gone = filled[raw[off[filled]] == drop_first]
+        keep = np.ones(len(raw), bool)
+        keep[off[gone]] = False
+        less = np.zeros(len(off), np.int64)
+        less[gone + 1] = 1
+        raw, off = raw[keep], off - np.cumsum(less)
+    return raw, off
 
 
 class Encoder:
-    """Encodes texts segment by segment and remembers the segments it has seen, in bounded number."""
+    """Encodes slices of texts segment by segment and remembers the segments it has seen, in bounded number.
+
+    Arrow tells the segments of a slice apart by their bytes and finds those
+    seen before, so each is encoded once; ids and texts are gathered flat.
+    """
 
     def __init__(self, model: PieceModel, memo: int = MEMO):
-        self.model, self.memo, self.seen = model, memo, {}
-
-    def learn(self, segments: set[str]) -> None:
-        """Number of ids, ids joined by commas and decoded text of segments not yet seen, cut out of one join of all."""
-        m, todo = self.model, [s for s in segments if s not in self.seen]
-        ids, counts = m.encode_segments(todo)
-        flat, end = ids.tolist(), np.cumsum(counts)
-        joined, text = ",".join([m.digits[i] for i in flat]), "".join([m.plain[i] for i in flat])
-        cut = lambda size: np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], end])].tolist()
-        d, t = cut(m.digits_len), cut(m.plain_len)
-        self.seen.update(zip(todo, zip(counts.tolist(), [joined[a : b - 1] for a, b in zip(d, d[1:])], [text[a:b] for a, b in zip(t, t[1:])])))
-        has_bytes = np.zeros(len(m.strings), bool)
-        has_bytes[list(m.byte_of)] = True
-        for k in np.unique(np.searchsorted(end, np.flatnonzero(has_bytes[ids]), side="right")):
-            self.seen[todo[k]] = (*self.seen[todo[k]][:2], m.raw(flat[end[k] - counts[k] : end[k]]))
-
-    def split(self, text: str | None) -> list[str]:
-        return SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, ids joined by commas and decoded text of each text; null is empty."""
-        block, held = [], 0
-        for text in texts:
-            block.append(self.split(text))
-            held += len(block[-1])
-            if held > 2 * self.memo:
-                yield from self._block(block)
-                block, held = [], 0
-        yield from self._block(block)
-
-    def _block(self, block: list[list[str]]) -> Iterator[tuple[int, str, str]]:
-        if len(self.seen) > self.memo:
-            self.seen.clear()
-        self.learn(set().union(*block) if block else set())
-        seen = self.seen
-        for segments in block:
-            if not segments:
-                yield 0, "", ""
-                continue
-            n, ids, parts = zip(*map(seen.__getitem__, segments))
-            text = "".join(parts)
-            yield sum(n), ",".join(ids), text[1:] if text.startswith(" ") else text
+        self.model, self.memo = model, memo
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.size = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _places(self, segments: pa.Array) -> np.ndarray:
+        """Number of each segment among the known ones; new ones are encoded and noted."""
+        new = segments.filter(pc.is_null(pc.index_in(segments, value_set=self.known)))
+        if len(self.known) and len(self.known) + len(new) > self.memo:
+            self._forget()
+            new = segments
+        parts = [(self.ids, self.size)]
+        for at in range(0, len(new), STEP):
+            part = pa.concat_arrays([new.slice(at, STEP)])
+            raw, off = flat.text_bytes(part)
+            ids, size = self.model.encode_segments(raw.tobytes(), np.diff(off))
+            parts.append((ids.astype(np.int32), size))
+        self.ids, self.size = (np.concatenate(x) for x in zip(*parts))
+        self.known = pa.concat_arrays([self.known, new])
+        return pc.index_in(segments, value_set=self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and the number of each; null is empty."""
+        if pa.types.is_large_string(texts.type):
+            texts = texts.cast(pa.string())
+        texts = pc.replace_substring(texts.fill_null(""), SPACE, " ")  # a space becomes a mark all the same
+        begun = pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar(""))
+        raw, off = flat.text_bytes(pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, begun))
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        space = raw == 32
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[off[:-1][off[:-1] < off[1:]]] = True
+        start = np.flatnonzero(first)
+        cuts = pa.py_buffer(np.concatenate([start, [len(raw)]]).astype(np.int32).tobytes())
+        found = pa.Array.from_buffers(pa.binary(), len(start), [None, cuts, pa.py_buffer(raw)]).dictionary_encode()
+        place = self._places(found.dictionary)[found.indices.to_numpy()]
+        size = self.size[place]
+        begin = np.cumsum(self.size) - self.size
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, off)]
+        return flat.gather(self.ids, begin[place], size), np.diff(ends)
 
 
 def default_model() -> str:
@@ -271,16 +301,24 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _strings(raw: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.string())
+
+
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids array<int>, decoded of every text, whole. Null and empty texts have no ids and decode to ''; repeated rows are separate rows."""
+    """id, ids array<int>, decoded of every text, whole. Null and empty texts have no ids and decode to ''; repeated rows are separate rows; an empty table gives an empty result.
+
+    A task holds the ids and texts of one slice of SLICE bytes (or of one
+    longer text) and a bounded memo, whatever the size of Arrow's batches.
+    """
 
     def run(batches):
-        gc.disable()  # the memo holds many tuples, none in a cycle
-        encoder = Encoder(PieceModel(model))
-        for b in batches:
-            rows = list(encoder.encode(b.column(1).to_pylist()))
-            ids = [list(map(int, r[1].split(","))) if r[1] else [] for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], [id_col, "ids", "decoded"])
+        m = PieceModel(model)
+        encoder = Encoder(m)
+        for b in flat.sliced(batches, 1, SLICE):
+            ids, size = encoder.encode(b.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, _strings(*m.text_bytes(ids, size))], [id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
@@ -289,20 +327,21 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
-    Map only: a task holds one Arrow batch, its segments and a bounded memo.
-    Null and empty texts have no ids; repeated rows are separate rows; an empty
-    table gives an empty result.
+    Map only, a slice at a time as in encode_texts. Null and empty texts have
+    no ids; repeated rows are separate rows; an empty table gives an empty
+    result.
     """
 
+    def digests(raw: np.ndarray, off: np.ndarray) -> pa.Array:
+        data = memoryview(raw)
+        return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:])], pa.string())
+
     def run(batches):
-        gc.disable()  # the memo holds many tuples, none in a cycle
-        encoder = Encoder(PieceModel(model))
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for b in batches:
-            n, ids, decoded = [], [], []
-            for k, joined, text in encoder.encode(b.column(1).to_pylist()):
-                n.append(k), ids.append(sha(joined)), decoded.append(sha(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        m = PieceModel(model)
+        encoder = Encoder(m)
+        for b in flat.sliced(batches, 1, SLICE):
+            ids, size = encoder.encode(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), digests(*m.numbers(ids, size)), digests(*m.text_bytes(ids, size))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
