@@ -54,4 +54,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_warc_index, op2_quality_outliers, op3_vector_links, op4_minhash, op5_source_mix, op6_context_mixing, op7_piece_codes, op8_toxicity, op9_suffix_dedup, op10_chat_format)}
 
-ORACLES: dict[str, str] = {"op1_warc_index": warc.WARC_SQL, "op5_source_mix": mixing.MIX_SQL, "op10_chat_format": chat.CHAT_SQL}
+ORACLES: dict[str, str] = {
+    "op1_warc_index": warc.WARC_SQL,
+    "op3_vector_links": vectors.LINKS_SQL,
+    "op4_minhash": minhash.NEAR_SQL,
+    "op5_source_mix": mixing.MIX_SQL,
+    "op9_suffix_dedup": suffixes.REPEATS_SQL,
+    "op10_chat_format": chat.CHAT_SQL,
+}

@@ -22,16 +22,18 @@ from . import flat
 from .runtime import materialise, maybe_broadcast, remove, shared_dir
 
 LENGTH, GRAM = 100, 32
-#: Starts looked at in one go; bytes of the passages that one index is built over; passages of an anchor beyond which its starts are grouped one by one.
-SLICE, INDEX_BYTES, GROUP_MOST = 1 << 19, 2 << 20, 10_000
+#: Starts looked at in one go; bytes of the passages that one index is built over; passages of an anchor beyond which they are dealt anew by a second anchor, a third and so on, up to LEVELS.
+SLICE, INDEX_BYTES, GROUP_MOST, LEVELS = 1 << 19, 1 << 19, 2000, 12
+#: Bytes of texts whose repeats a task tells apart before anything is shuffled.
+BATCH_BYTES = 24 << 20
 POSITION = np.uint64((1 << 20) - 1)
 ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) & (2**64 - 1) | 1) for j in range(8)]
 
 ROW = "kind int, anchor long, passage long, ord long, lo long, size int"
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each byte of raw on which so many follow."""
+def gram_hashes(raw: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the GRAM bytes from each byte of raw on which so many follow; another one for each seed."""
     n = len(raw) - GRAM + 1
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     eights = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), shape=(len(raw) - 7,), strides=(1,))
@@ -40,17 +42,18 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     h = g[:n] * ODD[0]
     for j in range(1, GRAM // 8):
         h += g[8 * j : 8 * j + n] * ODD[j]
-    return flat.mix(h)
+    h = flat.mix(h)
+    return flat.mix(h + np.uint64(seed) * flat.M1) if seed else h
 
 
-def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, off: np.ndarray, seed: int = 0) -> tuple[np.ndarray, ...]:
     """Anchor, passage hash, row, first owned start within the row and passage size, for every run of starts of one anchor."""
     out: list[tuple[np.ndarray, ...]] = []
     end_of = off[1:]
     wide = LENGTH - GRAM + 1
     for a in range(0, len(raw) - LENGTH + 1, SLICE):
         b = min(a + SLICE, len(raw) - LENGTH + 1)
-        h = gram_hashes(raw[a : b + LENGTH - 1])
+        h = gram_hashes(raw[a : b + LENGTH - 1], seed)
         key = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
         low, step = key, 1
         while 2 * step <= wide:
@@ -108,19 +111,35 @@ def _spans(ord_: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.RecordBatch
 
 
 def _local(batches):
-    """Kind 0: the first of each anchor and passage in a batch. Kind 1: spans that repeat an earlier one of the batch."""
-    for b in batches:
+    """Kind 0: the first of each anchor and passage in a batch. Kind 1: spans that repeat an earlier one of the batch, byte by byte."""
+    for b in flat.sliced(batches, 1, BATCH_BYTES):
         raw, off = flat.text_bytes(b.column(1))
         anchor, passage, row, lo, size = anchors(raw, off)
-        ord_ = b.column(0).to_numpy()[row]
+        start, ord_ = off[row] + lo, b.column(0).to_numpy()[row]
         order = np.lexsort((lo, ord_, passage, anchor))
-        anchor, passage, ord_, lo, size = anchor[order], passage[order], ord_[order], lo[order], size[order]
+        anchor, passage, ord_, lo, size, start = (x[order] for x in (anchor, passage, ord_, lo, size, start))
         first = np.ones(len(order), bool)
         first[1:] = (anchor[1:] != anchor[:-1]) | (passage[1:] != passage[:-1])
+        again = np.flatnonzero(~first)
+        head = np.flatnonzero(first)[np.cumsum(first)[again] - 1] if len(again) else again
+        other = again[~_equal(raw, start[again], size[again], start[head], size[head])]
+        passage[other] = flat.mix(passage[other] + lo[other].astype(np.uint64))  # equal hashes of unequal bytes: passages of their own
+        first[other] = True
         yield _rows(0, anchor[first], passage[first], ord_[first], lo[first], size[first])
         yield _spans(ord_[~first], lo[~first], size[~first])
 
 
+def _equal(raw: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether n bytes from a equal m bytes from b, for each pair."""
+    same = n == m
+    for at in range(0, len(a), 1 << 15):
+        x, y, size = (v[at : at + (1 << 15)] for v in (a, b, np.minimum(n, m)))
+        off = flat.gather(raw, x, size) != flat.gather(raw, y, size)
+        wrong = np.concatenate([[0], np.cumsum(off)])[np.concatenate([[0], np.cumsum(size)])]
+        same[at : at + (1 << 15)] &= wrong[1:] == wrong[:-1]
+    return same
+
+
 def _grouped(batches):
     """Of rows in order of (anchor, passage, ord, lo): kind 1 as it is and for repeats of a passage; kind 2 for first passages of an anchor that has several.
 
@@ -321,41 +340,77 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     found = materialise(dealt.mapInArrow(_grouped, ROW), path)
     open_ = found.where("kind = 2").select("anchor", "ord", "lo", "size")
-    many = materialise(open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_MOST).select("anchor"))
-    n_many = many.count()
     wanted = open_.groupBy("ord").agg(F.collect_list(F.struct("anchor", "lo", "size")).alias("wanted"))
     passages = texts.join(wanted, "ord").select("ord", "text", "wanted")  # both grow with the corpus: shuffled at every size
 
     def cut(batches):
-        for b in batches:
-            rows: list[tuple] = []
-            for ord_, text, wanted_ in zip(*[c.to_pylist() for c in b.columns]):
-                raw = text.encode("utf-8")
-                rows += [(w["anchor"], ord_, w["lo"], raw[w["lo"] : w["lo"] + w["size"]]) for w in wanted_]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "ord", "lo", "passage"])
-
-    passages = passages.mapInArrow(cut, "anchor long, ord long, lo long, passage binary")
-    if n_many:
-        passages = materialise(passages)
-        rare = passages.join(maybe_broadcast(many, 8, n_many), "anchor", "left_anti")
-    else:
-        rare = passages
+        for b in flat.sliced(batches, 1):
+            raw, off = flat.text_bytes(b.column(1))
+            each = b.column(2)
+            row = np.repeat(np.arange(b.num_rows), each.value_lengths().to_numpy())
+            anchor, lo, size = (each.flatten().field(k).to_numpy() for k in range(3))
+            yield _passages(anchor, b.column(0).to_numpy()[row], lo, flat.gather(raw, off[row] + lo, size.astype(np.int64)), size)
+
+    passages = passages.mapInArrow(cut, PASSAGE)
     spans = found.where("kind = 1").select("ord", "lo", (F.col("lo") + F.col("size")).alias("hi"))
-    from_index = rare.repartition("anchor").sortWithinPartitions("anchor", "ord", "lo").mapInArrow(_indexed, ROW)
+    few, more = by_anchors(passages, open_)
+    from_index = few.repartition("anchor").sortWithinPartitions("anchor", "ord", "lo").mapInArrow(_indexed, ROW)
     spans = spans.union(from_index.select("ord", "lo", (F.col("lo") + F.col("size")).alias("hi")))
-    if n_many:
-        # anchors with very many passages: their starts one by one, grouped by what they hold
-        common = passages.join(maybe_broadcast(many, 8, n_many), "anchor", "left_semi")
-        starts = common.withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("passage") - LENGTH)))
-        starts = starts.select("ord", (F.col("lo") + F.col("i")).alias("lo"), F.substring("passage", F.col("i") + 1, F.lit(LENGTH)).alias("held"))
-        starts = materialise(starts.select("ord", "lo", F.xxhash64("held").alias("x"), F.xxhash64(F.lit(1), F.sha1("held")).alias("y")))
-        earliest = starts.groupBy("x", "y").agg(F.min(F.struct("ord", "lo")).alias("e"), F.count("*").alias("n")).where("n > 1").select("x", "y", "e")
-        later = starts.join(earliest, ["x", "y"]).where((F.col("ord") != F.col("e.ord")) | (F.col("lo") != F.col("e.lo")))
-        spans = spans.union(later.select("ord", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    for part in more:
+        spans = spans.union(part)
     return materialise(spans.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
 
 
+def by_anchors(passages: DataFrame, open_: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """passages (anchor, ord, lo, passage) with no more than GROUP_MOST of an anchor, and spans of repeats met on the way.
+
+    An anchor that very many passages share, say of a common phrase, is told
+    apart by a second anchor of another hash, then a third: equal strings have
+    equal anchors by every hash, so they stay together. Of equal passages
+    that come out the first alone goes on.
+    """
+    few, spans = [], []
+    counts = open_.groupBy("anchor").agg(F.count("*").alias("n"))
+    for seed in range(1, LEVELS + 1):
+        many = materialise(counts.where(F.col("n") > GROUP_MOST).select("anchor"))
+        n = many.count()
+        if not n:
+            break
+        passages = materialise(passages)
+        few.append(passages.join(maybe_broadcast(many, 8, n), "anchor", "left_anti"))
+        hot = passages.join(maybe_broadcast(many, 8, n), "anchor", "left_semi")
+        dealt = materialise(hot.mapInArrow(_dealt_anew(seed), PASSAGE))
+        first = materialise(dealt.groupBy("anchor", "passage").agg(F.min(F.struct("ord", "lo")).alias("e"), F.count("*").alias("n")))
+        again = dealt.join(first.where("n > 1").drop("n"), ["anchor", "passage"]).where((F.col("ord") != F.col("e.ord")) | (F.col("lo") != F.col("e.lo")))
+        spans.append(again.select("ord", "lo", (F.col("lo") + F.octet_length("passage")).alias("hi")))
+        passages = first.select("anchor", "e.ord", "e.lo", "passage")
+        counts = passages.groupBy("anchor").agg(F.count("*").alias("n"))
+    for part in few:
+        passages = passages.union(part)
+    return passages, spans
+
+
+def _dealt_anew(seed: int):
+    def run(batches):
+        for b in flat.sliced(batches, 3):
+            raw, off = flat.text_bytes(b.column(3))
+            anchor, _, row, lo, size = anchors(raw, off, seed)
+            old, ord_, at = (b.column(k).to_numpy()[row] for k in range(3))
+            both = flat.mix(anchor + old.view(np.uint64) * flat.M3).view(np.int64)
+            yield _passages(both, ord_, at + lo, flat.gather(raw, off[row] + lo, size), size)
+
+    return run
+
+
+PASSAGE = "anchor long, ord long, lo long, passage binary"
+
+
+def _passages(anchor, ord_, lo, data: np.ndarray, size) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ord_), pa.array(lo), held], ["anchor", "ord", "lo", "passage"])
+
+
 def join_spans(spans: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s in spans:
@@ -397,7 +452,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     n = spans.count()
 
     def removed(batches):
-        for b in batches:
+        for b in flat.sliced(batches, 1):
             out = []
             for ord_, text, found in zip(*[c.to_pylist() for c in b.columns]):
                 raw, cuts = text.encode("utf-8"), join_spans(found)
@@ -433,9 +488,24 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         at = names.index("text")
-        for b in batches:
+        for b in flat.sliced(batches, at):
             text = [t if s is None or t is None else kept_bytes(t.encode("utf-8"), join_spans(s)).decode("utf-8", errors="ignore") for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())]
             columns = [*b.columns[:at], pa.array(text, b.column(at).type), *b.columns[at + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)
+
+
+#: The same in DuckDB, string by string: for tables whose strings it can list.
+REPEATS_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n_bytes from documents),
+s as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as held from (select doc_id, h, unnest(range(0, n_bytes - 99)) as i from d where n_bytes >= 100)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by held order by doc_id, i) as k from s) where k > 1),
+f as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end as new from r),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run from f),
+u as (select doc_id, min(i) as lo, max(i) + 100 as hi from g group by doc_id, run),
+e as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as since from u),
+c as (select d.doc_id, any_value(d.h) as h, any_value(d.n_bytes) as n_bytes, coalesce(sum(hi - lo), 0)::bigint as n_removed, count(lo)::bigint as n_spans,
+  coalesce(string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' order by lo), '') as kept, coalesce(max(hi), 0) as last from d left join e on d.doc_id = e.doc_id group by d.doc_id)
+select doc_id, n_bytes::bigint as n_bytes, n_removed, n_spans, sha256(unhex(kept || substr(h, 2 * last + 1))) as kept_sha256 from c
+"""

@@ -183,3 +183,18 @@ def vector_links(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
     out = keyed.join(known, F.col("ok") & (F.col("label") == F.col("k_label")) & (F.col("vector") == F.col("k_vector")), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: The same in DuckDB, by all pairs of a label: for tables small enough for that.
+LINKS_SQL = r"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id < y.vec_id and len(x.v) = len(y.v)
+  where list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))) >= 0.93),
+e as (select a, b from l union all select b, a from l),
+n as (select a as vec_id, count(*) as n_links from e group by a),
+reach as (select a as vec_id, a as node from e union select r.vec_id, e.b from reach r join e on e.a = r.node),
+c as (select vec_id, min(node) as component_id from reach group by vec_id)
+select m.vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, m.vec_id) as component_id, coalesce(component_id, m.vec_id) = m.vec_id as kept
+from embeddings m left join n on n.vec_id = m.vec_id left join c on c.vec_id = m.vec_id
+"""

@@ -25,7 +25,7 @@ def lower(text):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.execute(queries.ORACLES[name])
     cols = [d[0] for d in want.description]
@@ -381,9 +381,11 @@ def brute_repeats(docs, n=100):
     return out
 
 
-@pytest.mark.parametrize("most", [10_000, 1])
-def test_suffixes(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, levels", [(2000, 12), (3, 12), (1, 2)])
+def test_suffixes(spark, monkeypatch, most, levels):
+    """Also where anchors have more passages than one index may hold, and where they still do after all levels."""
     monkeypatch.setattr(suffixes, "GROUP_MOST", most)
+    monkeypatch.setattr(suffixes, "LEVELS", levels)
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdé ") for _ in range(700))
     texts = ["", None, "a" * 99, "a" * 100, "a" * 251, "é" * 120, "ab" * 300, "ab" * 300]
