@@ -48,7 +48,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in flat.sliced(batches, 1):
             n, h1, h2, listed, sketch = [], [], [], [], []
             for s in shingle_sets(*flat.text_bytes(b.column(1))):
                 n.append(len(s))
@@ -124,7 +124,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def sets(batches):
-        for b in batches:
+        for b in flat.sliced(batches, 1):
             got = [s.tobytes() for s in shingle_sets(*flat.text_bytes(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["id", "items"])
 
@@ -315,3 +315,18 @@ def inverted_lists(listed: DataFrame) -> DataFrame:
     pairs = common.select(F.explode(two).alias("value"), "id")
     several = pairs.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
     return materialise(cool.select("value", "id").union(pairs.join(several, "value").select("value", "id")))
+
+
+#: The same in DuckDB, by all shared shingles: for tables small enough for that.
+NEAR_SQL = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from t),
+n as (select doc_id, count(*) as size from s group by doc_id),
+k as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select k.a, k.b from k join n x on x.doc_id = k.a join n y on y.doc_id = k.b where 100 * shared >= 75 * (x.size + y.size - shared)),
+e as (select a, b from l union all select b, a from l),
+reach as (select a as doc_id, a as node from e union select r.doc_id, e.b from reach r join e on e.a = r.node),
+c as (select doc_id, min(node) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.size, 0)::bigint as n_shingles, coalesce(c.component_id, d.doc_id) as component_id, coalesce(c.component_id, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join c on c.doc_id = d.doc_id
+"""

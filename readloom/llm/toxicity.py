@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import materialise, remove, shared_dir
+from .runtime import Shared, materialise, remove, shared_dir
 
 #: Slots for hashed terms.
 SLOT_BITS = 20
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, terms: in
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of 12 bytes
 
     def slots(batches):
-        for b in batches:
+        for b in flat.sliced(batches, 1):
             got, row = distinct_terms(*term_slots(*flat.text_bytes(b.column(1))))
             ends = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(got.astype(np.int32)))], ["doc_id", "toxic", "slots"])
@@ -168,13 +168,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, terms: in
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """docs with a column toxicity, 0 to 1, of each whole text; null and empty texts get the score of no terms."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOT_BITS and TERMS
+    sent = Shared(docs.sparkSession, model)  # bounded by SLOT_BITS and TERMS
     names = docs.columns
 
     def run(batches):
-        at = names.index("text")
-        for b in batches:
-            got = sent.value.scores(*flat.text_bytes(b.column(at)))
+        at, model_ = names.index("text"), sent.value
+        for b in flat.sliced(batches, at):
+            got = model_.scores(*flat.text_bytes(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*names, "toxicity"])
 
     from pyspark.sql.types import DoubleType, StructType
