@@ -16,15 +16,18 @@ from .runtime import materialise, maybe_broadcast, remove, shared_dir
 
 #: Words of a shingle; a link needs PERCENT of the union shared.
 SHINGLE, PERCENT = 5, 75
-#: Values of a sketch. The least LISTED of them enter the inverted lists: two sets at the threshold have none of
-#: these in common with probability below 1e-7, and one at most with 3e-6; more alike ones with less.
-SKETCH, LISTED = 128, 12
-#: Longer lists, of passages that many texts share, give way to lists of two such values at once.
+#: Values of a sketch. Its least LISTED enter the inverted lists, or two over a quarter of the set if that is less.
+#: Linked sets of up to 4 * LISTED values always have two of these in common; larger ones at the threshold have
+#: none with probability 1e-12, and one at most with 6e-11; more alike ones with less.
+SKETCH, LISTED = 128, 20
+#: Longer lists whose rows aren't one component, of passages that many texts share, give way to lists of two such values at once.
 HOT = 200
 #: Standard errors under the threshold at which the union sketch's estimate still lets a pair go on to the exact check.
-ERRORS = 5.0
-#: Rows of a list compared at once, and first bound on the partners of a row in a round; rounds raise it until none is cut.
-BLOCK, PARTNERS = 4096, 8
+ERRORS = 6.0
+#: Rows of a list compared at once, and first bound on the partners of a row in another component in a round; rounds raise it until none is cut.
+BLOCK, PARTNERS = 4096, 2
+#: A pair is taken in the lists of its least common values, so many of them: one would do, but sketches hold halves of the values.
+LEAST_COMMON = 3
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -54,7 +57,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 h1.append(flat.mix(s).sum(dtype=np.uint64).astype(np.int64))
                 h2.append(flat.mix(s ^ flat.M1).sum(dtype=np.uint64).astype(np.int64))
-                listed.append(s[:LISTED].tobytes())
+                listed.append(s[: min(LISTED, len(s) // 4 + 2)].tobytes())
                 sketch.append(np.concatenate([[min(len(s), 2**32 - 1)], s[:SKETCH] >> np.uint64(32)]).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(listed, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "listed", "sketch"])
 
@@ -99,26 +102,39 @@ def least_estimate(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Values that each row of a and each row of b have in common, counted by products over slices of the values."""
+    """Values that each row of a and each row of b have in common: common values by products of slices, rarer ones pair by pair."""
     values, place = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
-    pa_, pb = place[: a.size].reshape(a.shape), place[a.size :].reshape(b.shape)
-    in_a, in_b = np.zeros(len(values), bool), np.zeros(len(values), bool)
-    in_a[pa_], in_b[pb] = True, True
-    use = in_a & in_b & (values != np.iinfo(a.dtype).max)
-    column = np.where(use, np.cumsum(use) - 1, -1)
-    pa_, pb, n = column[pa_], column[pb], int(use.sum())
-    out, step = np.zeros((len(a), len(b)), np.float32), 2048
+    pa_, pb = place[: a.size], place[a.size :]
+    ca, cb = np.bincount(pa_, minlength=len(values)), np.bincount(pb, minlength=len(values))
+    use = (ca > 0) & (cb > 0) & (values != np.iinfo(a.dtype).max)
+    often = use & (ca * cb > 256)
+    row_a, row_b = np.repeat(np.arange(len(a)), a.shape[1]), np.repeat(np.arange(len(b)), b.shape[1])
+    out, step, n = np.zeros((len(a), len(b)), np.float32), 1024, int(often.sum())
+    column = np.where(often, np.cumsum(often) - 1, -1)
     for at in range(0, n, step):
         part = []
-        for p in (pa_, pb):
+        for p, row, size in ((column[pa_], row_a, len(a)), (column[pb], row_b, len(b))):
             hit = (p >= at) & (p < at + step)
-            m = np.zeros((len(p), min(step, n - at)), np.float32)
-            m[np.nonzero(hit)[0], p[hit] - at] = 1
+            m = np.zeros((size, min(step, n - at)), np.float32)
+            m[row[hit], p[hit] - at] = 1
             part.append(m)
         out += part[0] @ part[1].T
+    rare = use & ~often
+    x, y = np.flatnonzero(rare[pa_]), np.flatnonzero(rare[pb])
+    y = y[np.argsort(pb[y], kind="stable")]
+    first = np.searchsorted(pb[y], pa_[x])
+    size = cb[pa_[x]]
+    i, j = np.repeat(row_a[x], size), row_b[flat.gather(y, first, size)]
+    out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
     return out
 
 
+def common_rank(a: np.ndarray, b: np.ndarray, value: np.uint32) -> np.ndarray:
+    """How many values less than this one each row of a and the row of b beside it have in common."""
+    both = np.sort(np.concatenate([a, b], 1), 1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < value)).sum(1)
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, linked of pairs (a, b), decided on the full sets, which are made anew from the whole texts of the pairs alone."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -149,29 +165,42 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def star_candidates(lists: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: each row of an inverted list with the least id of the list, if their sketches are alike enough."""
-    head = lists.groupBy("value").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = lists.join(head, "value").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    """a < b: each row of an inverted list (value, id, c) with two rows of the list, if their sketches are alike enough: that of the least id, and that whose own lists are the longest.
+
+    Of near copies the latter is the one that has most in common with all.
+    """
+    weight = lists.groupBy("id").agg(F.sum("c").alias("weight"))
+    head = lists.join(weight, "id").groupBy("value").agg(F.min("id").alias("x"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("y"))
+    pairs = lists.join(head, "value").select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("with")).where(F.col("id") != F.col("with"))
+    pairs = pairs.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
     x, y = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
 
     def run(batches):
-        for b in batches:
-            (u, nu), (v, nv) = unpack(b.column(2).to_pylist()), unpack(b.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(estimates(u, v) >= least_estimate(nu, nv)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                (u, nu), (v, nv) = unpack(b.column(2).to_pylist()), unpack(b.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(estimates(u, v) >= least_estimate(nu, nv)))
 
     return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def open_lists(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (value, id, component) of lists whose rows aren't all in one component yet, and the components."""
-    parts = materialise(connected_components(links))
+def open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows (value, v1, v2, id, component, c) of lists (value, v1, v2, id) whose rows aren't all in one of the components parts."""
     named = lists.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("c") > 2))
-    return named.join(mixed.select("value", "c"), "value"), parts
+    mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where(F.col("lo") != F.col("hi"))
+    return named.join(mixed.select("value", "c"), "value").select("value", "v1", "v2", "id", "component", "c")
+
+
+def hot_pairs(rows: DataFrame) -> DataFrame:
+    """value, v1, v2, id: lists of two values at once, of the lists in rows (value, id)."""
+    common = rows.groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("v")).where(F.size("v") > 1)
+    two = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, LISTED), lambda y: F.struct(F.xxhash64(x, y).alias("value"), x.alias("v1"), y.alias("v2")))))
+    return common.select(F.explode(two).alias("p"), "id").select("p.value", "p.v1", "p.v2", "id")
 
 
 def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """a, b, cut: for rows of the open lists their best `most` partners of another component; cut tells that a row had more.
+    """value, a, b, cut: for rows of open lists their best `most` partners in each other component; cut tells that a row had more.
 
     A list longer than BLOCK is dealt over blocks, and each pair of blocks is a group of its own.
     """
@@ -179,13 +208,16 @@ def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFra
     r = rows.withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     r = r.join(sketches, "id")
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    r = r.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "id", "component", "sketch")
+    r = r.select("value", "v1", "v2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "id", "component", "sketch")
 
     def compare(group: pa.Table) -> pa.Table:
         ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        value, i, j = (group[c][0].as_py() for c in ("value", "i", "j"))
+        keys = [np.uint32((v % (1 << 64)) >> 32) for c in ("v1", "v2") if (v := group[c][0].as_py()) is not None]
         second = group["second"].to_numpy(zero_copy_only=False)
         s, n = unpack(group["sketch"].to_pylist())
+        order = np.argsort(n, kind="stable")  # only sets of about one size may be linked
+        ids, comp, second, s, n = ids[order], comp[order], second[order], s[order], n[order]
         # rows of the commonest component aren't compared with one another
         names, held = np.unique(comp, return_counts=True)
         rest = comp != names[np.argmax(held)]
@@ -194,12 +226,16 @@ def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFra
             sides = [(every[rest], every)]
         else:
             sides = [(every[~second & rest], every[second]), (every[~second & ~rest], every[second & rest])]
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cut": pa.array([], pa.bool_())})
         found: list[tuple[np.ndarray, ...]] = []
         size = (s != np.iinfo(np.uint32).max).sum(1)
-        for x, y in sides:
-            for at in range(0, len(x) if len(y) else 0, 512):
-                xs = x[at : at + 512]
+        listed = np.minimum(LISTED, n.astype(np.int64) // 4 + 2)
+        short = np.where(np.arange(LISTED) < listed[:, None], s[:, :LISTED], np.arange(LISTED, dtype=np.uint32) - np.uint32(LISTED) - (every * LISTED).astype(np.uint32)[:, None])
+        for x, all_y in sides:
+            for at in range(0, len(x), 256):
+                xs = x[at : at + 256]
+                y = all_y[np.searchsorted(n[all_y], PERCENT / 100 * n[xs[0]] - 1e-9) : np.searchsorted(n[all_y], n[xs[-1]] * 100 / PERCENT + 1e-9, side="right")]
+                if not len(y):
+                    continue
                 common = shared(s[xs], s[y])
                 least = least_estimate(n[xs][:, None], n[y][None, :]) * np.maximum(size[xs][:, None], size[y][None, :])  # the union sketch is as large as either
                 p, q = np.nonzero((common >= least) & (comp[xs][:, None] != comp[y][None, :]))
@@ -208,24 +244,26 @@ def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFra
                     p, q = p[once], q[once]
                 for k in range(0, len(p), 1 << 14):
                     a, b = xs[p[k : k + (1 << 14)]], y[q[k : k + (1 << 14)]]
+                    ok = np.ones(len(a), bool)
+                    for key in keys:
+                        ok &= common_rank(short[a], short[b], key) < LEAST_COMMON
+                    a, b = a[ok], b[ok]
                     e = estimates(s[a], s[b])
                     ok = e >= least_estimate(n[a], n[b])
                     found.append((a[ok], b[ok], e[ok]))
-        if not found:
-            return none
+        if not found or not sum(len(f[0]) for f in found):
+            return pa.table({"value": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cut": pa.array([], pa.bool_())})
         a, b, e = map(np.concatenate, zip(*found))
-        keep, cut = np.zeros(len(a), bool), np.zeros(len(a), bool)
-        for side in (a, b):
-            order = np.lexsort((np.arange(len(a)), -e, side))
-            new = np.concatenate([[True], side[order][1:] != side[order][:-1]])
+        keep = np.zeros(len(a), bool)
+        for side, far in ((a, b), (b, a)):
+            order = np.lexsort((-e, comp[far], side))
+            new = np.concatenate([[True], (side[order][1:] != side[order][:-1]) | (comp[far][order][1:] != comp[far][order][:-1])])
             rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             keep[order[rank < most]] = True
-        cut[:] = not keep.all()
         lo, hi = np.minimum(ids[a], ids[b])[keep], np.maximum(ids[a], ids[b])[keep]
-        return pa.table({"a": lo, "b": hi, "cut": cut[keep]})
+        return pa.table({"value": np.full(len(lo), value), "a": lo, "b": hi, "cut": np.full(len(lo), not keep.all())})
 
-    found = r.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long, cut boolean")
-    return materialise(found.groupBy("a", "b").agg(F.max("cut").alias("cut")))
+    return materialise(r.groupBy("value", "i", "j").applyInArrow(compare, "value long, a long, b long, cut boolean"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts of one shingle set form a class, so that copies never make pairs.
     Inverted lists of the classes' least values give candidates: first each
-    row with the least of its list, then, in lists that are not yet one
+    row with two heads of its list, then, in lists that are not yet one
     component, rows of different components, the best first and more in each
     round until none is left out. Sketches filter them, full sets decide.
     So a group of near copies of any size costs a few pairs a row, and no link
@@ -256,19 +294,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = placed.where("sketch is not null").select(F.col("class_id").alias("id"), "sketch")
     lists = inverted_lists(placed.where("sketch is not null").select(F.col("class_id").alias("id"), "listed"))
     tested = verify(docs, star_candidates(lists, sketches))
+    parts = materialise(connected_components(tested.where("linked")))
+    rows = materialise(open_lists(lists.select("value", F.col("value").alias("v1"), F.lit(None).cast("long").alias("v2"), "id"), parts))
+    hot = F.col("c") > HOT
+    pairs = materialise(hot_pairs(rows.where(hot)))
+    todo = materialise(rows.where(~hot).union(open_lists(pairs, parts)))
     most = PARTNERS
-    while True:
-        rows, parts = open_lists(lists, tested.where("linked"))
-        found = block_candidates(rows, sketches, most)
-        fresh = materialise(found.join(tested, ["a", "b"], "left_anti"))
-        cut = fresh.where("cut").limit(1).count() or found.where("cut").limit(1).count()
+    while todo.limit(1).count():
+        found = block_candidates(todo, sketches, most)
+        fresh = materialise(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         if fresh.limit(1).count():
             tested = materialise(tested.union(verify(docs, fresh)))
-        elif not cut:
-            break
-        if not cut:
             parts = materialise(connected_components(tested.where("linked")))
-            break
+        cut = found.where("cut").select("value").distinct()  # these lists alone may have more
+        todo = materialise(open_lists(todo.select("value", "v1", "v2", "id").join(cut, "value"), parts))
         most *= 16
     n = parts.count()
     out = placed.drop("listed", "sketch").join(maybe_broadcast(parts.select(F.col("node").alias("class_id"), "component"), 24, n), "class_id", "left")
@@ -290,12 +329,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def inverted_lists(listed: DataFrame) -> DataFrame:
-    """value, id: the lists of all values of (id, listed) that more than one row has.
-
-    A value of more than HOT rows says little: its rows enter lists of two such
-    values instead. Alike sets share more than one of their least values, so
-    they still meet, and texts with but a common phrase don't.
-    """
+    """value, id, c: the lists of all values of (id, listed) that more than one row has, c rows."""
 
     def run(batches):
         for b in batches:
@@ -304,17 +338,8 @@ def inverted_lists(listed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.zeros(0, np.int64)), pa.array(ids)], ["value", "id"])
 
     every = materialise(listed.select("id", "listed").mapInArrow(run, "value long, id long"))
-    counts = materialise(every.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"))
-    cool = every.join(counts.where(F.col("c") <= HOT).select("value"), "value")
-    hot = materialise(counts.where(F.col("c") > HOT).select("value"))
-    n = hot.count()
-    if not n:
-        return materialise(cool)
-    common = every.join(maybe_broadcast(hot, 16, n), "value").groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("v")).where(F.size("v") > 1)
-    two = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, LISTED), lambda y: F.xxhash64(x, y))))
-    pairs = common.select(F.explode(two).alias("value"), "id")
-    several = pairs.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
-    return materialise(cool.select("value", "id").union(pairs.join(several, "value").select("value", "id")))
+    counts = every.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
+    return materialise(every.join(counts, "value").select("value", "id", "c"))
 
 
 #: The same in DuckDB, by all shared shingles: for tables small enough for that.
