@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MUTATION = "struct<type:string,position:bigint,nts:string>"
@@ -27,36 +27,86 @@ def reference_span(cs: Column) -> Column:
     return F.aggregate(operations(cs), F.lit(0).cast("bigint"), lambda n, op: n + _advance(op))
 
 
-def mutations(cs: Column, contig_start: Column) -> Column:
-    """Array of mutations at contig positions, one pass over the operations.
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Operations that one running array is built over: longer strings are cut into about as many parts as a part has operations.
+PART = 128
+
+
+def _sign(op: Column) -> Column:
+    return F.substring(op, 1, 1)
 
-    A substitution's nts are the read's base and the reference's; an insertion
-    stands on the base to its right; all are in upper case.
-    """
-    start = F.struct(contig_start.cast("bigint").alias("at"), F.array().cast(f"array<{MUTATION}>").alias("out"))
+
+def _mutations_from(ops: Column, start: Column) -> Column:
+    first = F.struct(start.alias("at"), F.array().cast(f"array<{MUTATION}>").alias("out"))
 
     def step(acc: Column, op: Column) -> Column:
-        sign, value = F.substring(op, 1, 1), F.upper(F.substring(op, F.lit(2), F.length(op)))
+        sign, value = _sign(op), F.upper(F.substring(op, F.lit(2), F.length(op)))
         nts = F.when(sign == "*", F.reverse(value)).otherwise(value)
         kind = F.when(sign == "*", "SUB").when(sign == "+", "INS").otherwise("DEL")
         new = F.struct(kind.alias("type"), acc["at"].alias("position"), nts.alias("nts"))
         return F.struct((acc["at"] + _advance(op)).alias("at"), F.when(sign == ":", acc["out"]).otherwise(F.concat(acc["out"], F.array(new))).alias("out"))
 
-    return F.aggregate(operations(cs), start, step, lambda acc: acc["out"])
+    return F.aggregate(ops, first, step, lambda acc: acc["out"])
+
+
+def mutations(cs: Column, contig_start: Column) -> Column:
+    """Array of mutations at contig positions.
+
+    A substitution's nts are the read's base and the reference's; an insertion
+    stands on the base to its right; all are in upper case. The steps grow
+    with the operations to the power 1.5: where a part of a long string begins
+    follows from the sums of the parts before it.
+    """
+    start = contig_start.cast("bigint")
+
+    def in_parts(ops: Column) -> Column:
+        size = F.greatest(F.lit(PART), F.ceil(F.sqrt(F.size(ops))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(1), F.size(ops), size), lambda i: F.slice(ops, i, size))
+        spans = lambda held: F.transform(held, lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda n, op: n + _advance(op)))
+        before = lambda sums, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0).cast("bigint"), lambda n, x: n + x)
+        return let(parts, lambda held: let(spans(held), lambda sums: F.flatten(F.transform(held, lambda part, k: _mutations_from(part, start + before(sums, k))))))
+
+    return let(operations(cs), lambda ops: F.when(F.size(ops) <= PART, _mutations_from(ops, start)).otherwise(in_parts(ops)))
+
+
+def with_mutations(rows: DataFrame) -> DataFrame:
+    """rows with mutations, parsed from cs where they aren't there yet. Joins come first: what is parsed is what they leave."""
+    return rows if "mutations" in rows.columns else rows.withColumn("mutations", mutations(F.col("cs"), F.col("contig_start")))
+
+
+def each_mutation(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and m, a row for each mutation. (explode alone would have its array made once more for a filter.)"""
+    return with_mutations(rows).select(*keep, F.explode_outer("mutations").alias("m")).where("m is not null")
+
+
+def _end(m: Column) -> Column:
+    """The contig position after a mutation."""
+    return m["position"] + F.when(m["type"] == "SUB", F.lit(1)).when(m["type"] == "DEL", F.length(m["nts"])).otherwise(F.lit(0)).cast("bigint")
+
+
+def _end_before(muts: Column, i: Column, start: Column) -> Column:
+    """The end of the mutation before the one at i; start for the first."""
+    return F.coalesce(_end(F.get(muts, i - 1)), start)
 
 
 def regenerate(muts: Column, contig_start: Column, contig_end: Column) -> Column:
     """The cs string of mutations in order: lower case, gaps as matches."""
-    start = F.struct(contig_start.cast("bigint").alias("at"), F.lit("").alias("out"))
     gap = lambda n: F.when(n > 0, F.concat(F.lit(":"), n.cast("string"))).otherwise(F.lit(""))
+    start = contig_start.cast("bigint")
+
+    def text(held: Column) -> Column:
+        def part(m: Column, i: Column) -> Column:
+            sign = F.when(m["type"] == "SUB", "*").when(m["type"] == "INS", "+").otherwise("-")
+            nts = F.lower(F.when(m["type"] == "SUB", F.reverse(m["nts"])).otherwise(m["nts"]))
+            return F.concat(gap(m["position"] - _end_before(held, i, start)), sign, nts)
 
-    def step(acc: Column, m: Column) -> Column:
-        sign = F.when(m["type"] == "SUB", "*").when(m["type"] == "INS", "+").otherwise("-")
-        nts = F.lower(F.when(m["type"] == "SUB", F.reverse(m["nts"])).otherwise(m["nts"]))
-        passed = F.when(m["type"] == "SUB", F.lit(1)).when(m["type"] == "DEL", F.length(m["nts"])).otherwise(F.lit(0)).cast("bigint")
-        return F.struct((m["position"] + passed).alias("at"), F.concat(acc["out"], gap(m["position"] - acc["at"]), sign, nts).alias("out"))
+        return F.concat(F.array_join(F.transform(held, part), ""), gap(contig_end.cast("bigint") - _end_before(held, F.size(held), start)))
 
-    return F.aggregate(muts, start, step, lambda acc: F.concat(acc["out"], gap(contig_end.cast("bigint") - acc["at"])))
+    return let(muts, text)
 
 
 def is_valid(cs: Column, contig_start: Column, contig_end: Column) -> Column:

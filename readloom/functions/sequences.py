@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cs import let
+
 
 def fragment(sequence: Column, start: Column, end: Column) -> Column:
     """Bases start to end, counted from 0, end not included."""
@@ -17,19 +19,26 @@ def reverse_complement(sequence: Column) -> Column:
 
 
 def apply_mutations(reference: Column, muts: Column, contig_start: Column) -> Column:
-    """Struct of the mutated fragment and ok: whether positions fit and the reference's bases are as the mutations say."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"), F.lit(True).alias("ok"))
-
-    def step(acc: Column, m: Column) -> Column:
-        at = m["position"] - contig_start
-        sub, gone = m["type"] == "SUB", m["type"] == "DEL"
-        expected = F.when(sub, F.substring(m["nts"], 2, 1)).when(gone, m["nts"]).otherwise(F.lit(""))
-        added = F.when(sub, F.substring(m["nts"], 1, 1)).when(gone, F.lit("")).otherwise(m["nts"])
-        size = F.length(expected)
-        fits = (at >= acc["at"]) & (at + size <= F.length(reference)) & (fragment(reference, at, at + size) == expected)
-        return F.struct((at + size).cast("bigint").alias("at"), F.concat(acc["out"], fragment(reference, acc["at"], at), added).alias("out"), (acc["ok"] & fits).alias("ok"))
-
-    return F.aggregate(muts, start, step, lambda acc: F.struct(F.concat(acc["out"], fragment(reference, acc["at"], F.length(reference))).alias("sequence"), acc["ok"].alias("ok")))
+    """Struct of the mutated fragment and ok: whether positions fit and the reference's bases are as the mutations say.
+
+    Works on bytes, so that a stretch costs its own length wherever it lies.
+    """
+    cut = lambda raw, a, z: F.substring(raw, (a + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int"))
+    sub, gone = lambda m: m["type"] == "SUB", lambda m: m["type"] == "DEL"
+    expected = lambda m: F.when(sub(m), F.substring(m["nts"], 2, 1)).when(gone(m), m["nts"]).otherwise(F.lit(""))
+    added = lambda m: F.when(sub(m), F.substring(m["nts"], 1, 1)).when(gone(m), F.lit("")).otherwise(m["nts"])
+    at = lambda m: m["position"] - contig_start
+    end = lambda m: at(m) + F.length(expected(m))
+
+    def made(both: Column) -> Column:
+        raw, held = both["raw"], both["held"]
+        before = lambda i: F.coalesce(end(F.get(held, i - 1)), F.lit(0))
+        parts = F.transform(held, lambda m, i: F.concat(cut(raw, before(i), at(m)).cast("string"), added(m)))
+        fits = F.transform(held, lambda m, i: (at(m) >= before(i)) & (end(m) <= F.octet_length(raw)) & (cut(raw, at(m), end(m)).cast("string") == expected(m)))
+        rest = cut(raw, before(F.size(held)), F.octet_length(raw)).cast("string")
+        return F.struct(F.concat(F.array_join(parts, ""), rest).alias("sequence"), F.forall(fits, lambda x: x).alias("ok"))
+
+    return let(F.struct(reference.cast("binary").alias("raw"), muts.alias("held")), made)
 
 
 def first_mismatch(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cs import density, describe
+from ..functions.cs import density, describe, each_mutation, with_mutations
 from .overlap import interval_hits
 from .scratch import numbered
 
@@ -79,7 +79,7 @@ def with_heights(rows: DataFrame, style: str) -> DataFrame:
 
 def full_query(alignments: DataFrame, intervals: DataFrame, max_length: int, style: str | None = "by_coord", first_index: int = 0) -> DataFrame:
     """A row for each interval and alignment that it hits, numbered by interval, start and line, with its mutations and height; style None: no height."""
-    hits = interval_hits(alignments, intervals, max_length).withColumn("mutation_count", F.size("mutations").cast("long"))
+    hits = with_mutations(interval_hits(alignments, intervals, max_length)).withColumn("mutation_count", F.size("mutations").cast("long"))
     rows = numbered(hits, "alignment_index", "interval_id", "contig_start", "line_no", start=first_index)
     return with_heights(rows, style) if style else rows
 
@@ -92,5 +92,5 @@ def alignment_rows(full: DataFrame) -> DataFrame:
 def mutation_rows(full: DataFrame) -> DataFrame:
     """All mutations of the alignments, those outside their interval too."""
     height = ["height"] if "height" in full.columns else []
-    m = full.select("alignment_index", "read_id", "contig_id", F.explode("mutations").alias("m"), *height)
+    m = each_mutation(full, "alignment_index", "read_id", "contig_id", *height)
     return m.select("alignment_index", "read_id", "contig_id", F.col("m.type").alias("mutation_type"), F.col("m.position").alias("mutation_position"), describe(F.col("m.type"), F.col("m.nts")).alias("mutation_desc"), *height)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small
+from .scratch import BROADCAST_BYTES
 
-#: Bases of a bucket where there are too many intervals to broadcast.
-BUCKET = 65_536
+#: Bases of a bucket; intervals of a contig up to which an alignment is held against all of them.
+BUCKET, FEW = 65_536, 32
 
 
 def hit(max_length: Column | int) -> Column:
@@ -28,20 +28,29 @@ def check_intervals(intervals: DataFrame, contigs: DataFrame) -> None:
         raise ValueError(f"unknown contig: {lost[0]['contig_id']}")
 
 
+def few_intervals(intervals: DataFrame) -> tuple[bool, bool]:
+    """Whether the intervals are counted to be small enough for a broadcast, and whether no contig has more than FEW."""
+    r = intervals.groupBy("contig_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    return r["total"] * 64 <= BROADCAST_BYTES, r["most"] <= FEW
+
+
 def interval_hits(alignments: DataFrame, intervals: DataFrame, max_length: int, bucket: int = BUCKET, broadcast: bool | None = None) -> DataFrame:
     """Columns of alignments beside interval_id, start, end: a row for each interval that an alignment is hit by.
 
-    Intervals that are counted to be few are broadcast; else both sides are
-    dealt over buckets of the contig, and a pair is kept in the first bucket
-    that both have.
+    Where no contig has more than FEW intervals they meet on the contig; else
+    both sides are dealt over buckets of the contig, and a pair is kept in the
+    first bucket that both have. Either way the intervals are broadcast only
+    if they are counted to be small.
     """
     iv = intervals.select("contig_id", "interval_id", "start", "end")
-    side, fits = small(iv, 64)
-    if fits if broadcast is None else broadcast:
-        return alignments.join(F.broadcast(side), "contig_id").where(hit(max_length))
+    fits, few = few_intervals(iv)
+    if few and fits if broadcast is None else broadcast:
+        return alignments.join(F.broadcast(iv), "contig_id").where(hit(max_length))
     spread = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {bucket}"), F.expr(f"{b} div {bucket}")))
     a = alignments.withColumn("bucket", spread("contig_start", "contig_end"))
     b = iv.withColumn("bucket", spread("start", "end"))
+    if fits and broadcast is None and b.count() * 64 <= BROADCAST_BYTES:
+        b = F.broadcast(b)
     first = F.greatest(F.expr(f"contig_start div {bucket}"), F.expr(f"start div {bucket}"))
     return a.join(b, ["contig_id", "bucket"]).where((F.col("bucket") == first) & hit(max_length)).drop("bucket")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cs import describe
-from .overlap import hit, interval_hits, merged_intervals
+from ..functions.cs import describe, each_mutation
+from .overlap import few_intervals, interval_hits, merged_intervals
 from .scratch import small
 
 MODES = ("all", "covered", "mutated")
@@ -18,28 +18,28 @@ STRETCH = 1 << 20
 def weighted(alignments: DataFrame, intervals: DataFrame, max_length: int) -> DataFrame:
     """Alignments that an interval hits, with w, the number of intervals that do.
 
-    Few intervals travel as one array a contig, and no row is shuffled; else
-    the hits are counted.
+    Where a contig has few intervals they travel as one array a contig, and no
+    row is shuffled; else the hits are counted.
     """
-    a = alignments.select("line_no", "contig_id", "contig_start", "contig_end", "mutations")
-    side, fits = small(intervals.select("contig_id", "start", "end"), 64)
-    if fits:
+    side = intervals.select("contig_id", "interval_id", "start", "end")
+    a = alignments.drop(*(set(alignments.columns) - {"line_no", "contig_id", "contig_start", "contig_end", "cs", "mutations"}))
+    if all(few_intervals(side)):
         arrays = side.groupBy("contig_id").agg(F.collect_list(F.struct("start", "end")).alias("iv"))
         near = lambda i: (F.col("contig_start") <= i["end"]) & ((F.col("contig_end") > i["start"]) | ((F.col("contig_end") == i["start"]) & (F.col("contig_end") - F.col("contig_start") < max_length)))
         return a.join(F.broadcast(arrays), "contig_id").withColumn("w", F.size(F.filter("iv", near)).cast("long")).where("w > 0").drop("iv")
-    n = interval_hits(a.drop("mutations"), intervals, max_length).groupBy("line_no").agg(F.count("*").alias("w"))
+    n = interval_hits(a.drop("cs", "mutations"), side, max_length).groupBy("line_no").agg(F.count("*").alias("w"))
     return a.join(n, "line_no")
 
 
 def coverage_segments(rows: DataFrame) -> DataFrame:
-    """contig_id, lo, hi, coverage: stretches of one coverage over 0, by a sweep over starts and ends."""
+    """contig_id, k, lo, hi, coverage: stretches of one coverage over 0, by a sweep over starts and ends."""
     cut = rows.withColumn("k", F.explode(F.expr(f"sequence(contig_start div {STRETCH}, (contig_end - 1) div {STRETCH})")))
     lo, hi = F.greatest("contig_start", F.col("k") * STRETCH), F.least("contig_end", (F.col("k") + 1) * STRETCH)
     events = cut.select("contig_id", "k", F.explode(F.array(F.struct(lo.alias("at"), F.col("w").alias("d")), F.struct(hi.alias("at"), (-F.col("w")).alias("d")))).alias("e"))
     steps = events.groupBy("contig_id", "k", F.col("e.at").alias("lo")).agg(F.sum("e.d").alias("d"))
     w = W.partitionBy("contig_id", "k").orderBy("lo")
     steps = steps.withColumns({"coverage": F.sum("d").over(w), "hi": F.lead("lo").over(w)})
-    return steps.where("coverage > 0").select("contig_id", "lo", "hi", "coverage")
+    return steps.where("coverage > 0").select("contig_id", "k", "lo", "hi", "coverage")
 
 
 def pileup_query(alignments: DataFrame, intervals: DataFrame, max_length: int, mode: str = "covered", strict: bool = False) -> DataFrame:
@@ -52,14 +52,16 @@ def pileup_query(alignments: DataFrame, intervals: DataFrame, max_length: int, m
     """
     if mode not in MODES:
         raise ValueError(f"pileup mode must be one of {MODES}: {mode}")
-    pool, _ = small(merged_intervals(intervals), 64)
+    pool = merged_intervals(intervals).withColumn("k", F.explode(F.expr(f"sequence(lo div {STRETCH}, (hi - 1) div {STRETCH})")))
+    pool = pool.select("contig_id", "k", F.greatest("lo", F.col("k") * STRETCH).alias("lo"), F.least("hi", (F.col("k") + 1) * STRETCH).alias("hi"))
+    pool, _ = small(pool, 64)
     rows = weighted(alignments, intervals, max_length)
-    found = rows.where(F.size("mutations") > 0).select("contig_id", "w", F.explode("mutations").alias("m"))
+    found = each_mutation(rows, "contig_id", "w")
     found = found.select("contig_id", F.col("m.position").alias("position"), describe(F.col("m.type"), F.col("m.nts")).alias("variant"), "w")
-    found = found.join(pool, "contig_id").where("position >= lo and position < hi")
+    found = found.withColumn("k", F.expr(f"position div {STRETCH}")).join(pool, ["contig_id", "k"]).where("position >= lo and position < hi")
     variants = found.groupBy("contig_id", "position", "variant").agg(F.sum("w").alias("count"))
     at = variants.groupBy("contig_id", "position").agg(F.sum("count").alias("varied"), F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "variant"))).alias("variants"))
-    segments = coverage_segments(rows).join(pool.withColumnsRenamed({"lo": "p_lo", "hi": "p_hi"}), "contig_id").where("lo < p_hi and hi > p_lo")
+    segments = coverage_segments(rows).join(pool.withColumnsRenamed({"lo": "p_lo", "hi": "p_hi"}), ["contig_id", "k"]).where("lo < p_hi and hi > p_lo")
     segments = segments.select("contig_id", F.greatest("lo", "p_lo").alias("lo"), F.least("hi", "p_hi").alias("hi"), "coverage")
     covered = segments.select("contig_id", F.explode(F.expr("sequence(lo, hi - 1)")).alias("position"), "coverage")
     if mode == "all":

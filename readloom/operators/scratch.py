@@ -42,11 +42,10 @@ def numbered(df: DataFrame, name: str, *order, start: int = 0) -> DataFrame:
     part = F.shiftright(F.col("_place"), 33)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
-    total, bases = start, {}
+    total, bases = start, []
     for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
-        bases[r["p"]] = total
+        bases.append((r["p"], total))
         total += r["n"]
-    if not bases:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("_place")
-    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in bases.items() for x in kv]), part)
-    return placed.withColumn(name, base + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place")
+    before = df.sparkSession.createDataFrame(bases, "_part long, _base long")
+    rows = placed.join(F.broadcast(before), part == F.col("_part"))  # a row a partition
+    return rows.withColumn(name, F.col("_base") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_part", "_base")

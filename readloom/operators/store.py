@@ -7,33 +7,47 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cs import each_mutation, with_mutations
 from ..sources.paf import read_paf
 from ..sources.sequences import read_fasta, read_sequences
 from .bins import bin_query
 from .full import alignment_rows, full_query, mutation_rows
 from .overlap import check_intervals
 from .pileup import pileup_query
+from .scratch import numbered, written
 from .verify import tally, verify_alignments
 
 
 class AlignmentStore:
-    """Alignments with their contigs, reads and greatest length."""
+    """Alignments with their contigs, reads and greatest length.
+
+    Alignments have mutations, or cs alone; then what a query leaves is parsed.
+    """
 
     def __init__(self, alignments: DataFrame, max_length: int | None = None, contigs: DataFrame | None = None, reads: DataFrame | None = None):
         self.alignments = alignments
-        self._max, self._contigs, self._reads = max_length, contigs, reads
+        self._max, self._contigs, self._reads, self._longest = max_length, contigs, reads, None
+
+    @property
+    def parsed(self) -> DataFrame:
+        return with_mutations(self.alignments)
+
+    @property
+    def longest(self) -> DataFrame:
+        """contig_id and the greatest length of an alignment on it, from one pass that is written down."""
+        if self._longest is None:
+            self._longest = written(self.alignments.groupBy("contig_id").agg(F.max(F.col("contig_end") - F.col("contig_start")).alias("longest")))
+        return self._longest
 
     @property
     def max_length(self) -> int:
         if self._max is None:
-            self._max = self.alignments.agg(F.max(F.col("contig_end") - F.col("contig_start"))).first()[0] or 0
+            self._max = self.longest.agg(F.max("longest")).first()[0] or 0
         return self._max
 
     def _dictionary(self, kind: str) -> DataFrame:
         """index by first appearance, id, and the length that its first line has."""
         first = self.alignments.groupBy(f"{kind}_id").agg(F.min("line_no").alias("line_no"), F.min_by(f"{kind}_length", "line_no").alias("length"))
-        from .scratch import numbered
-
         return numbered(first, f"{kind}_index", "line_no").select(f"{kind}_index", f"{kind}_id", "length")
 
     @property
@@ -46,7 +60,7 @@ class AlignmentStore:
 
     def mutation_dictionary(self) -> DataFrame:
         """Each mutation of a contig once."""
-        m = self.alignments.select("contig_id", F.explode("mutations").alias("m"))
+        m = each_mutation(self.alignments, "contig_id")
         return m.select("contig_id", F.col("m.type").alias("type"), F.col("m.position").alias("position"), F.col("m.nts").alias("nts")).distinct()
 
     @classmethod
@@ -68,7 +82,7 @@ class AlignmentStore:
 
     def save(self, path: str) -> None:
         """Tables alignments (dealt by ranges of contig and start, so that row groups can be skipped), contigs, reads and stats."""
-        self.alignments.repartitionByRange("contig_id", "contig_start").sortWithinPartitions("contig_id", "contig_start").write.parquet(f"{path}/alignments")
+        self.parsed.repartitionByRange("contig_id", "contig_start").sortWithinPartitions("contig_id", "contig_start").write.parquet(f"{path}/alignments")
         saved = AlignmentStore(self.alignments.sparkSession.read.parquet(f"{path}/alignments"))
         saved.contigs.write.parquet(f"{path}/contigs")
         saved.reads.write.parquet(f"{path}/reads")
@@ -81,8 +95,8 @@ class AlignmentStore:
 
     def info(self) -> DataFrame:
         """One row: alignments, reads, mean read span, mutations (each occurrence) and their mean."""
-        n = F.size("mutations")
-        return self.alignments.agg(
+        n = F.col("n")
+        return self.parsed.select("read_id", "read_start", "read_end", F.size("mutations").alias("n")).agg(
             F.count("*").alias("alignments"),
             F.count_distinct("read_id").alias("reads"),
             F.coalesce(F.avg(F.col("read_end") - F.col("read_start")), F.lit(0.0)).alias("avg_alignment_length"),
@@ -91,10 +105,10 @@ class AlignmentStore:
         )
 
     def extract_alignments(self) -> DataFrame:
-        return self.alignments.select("read_id", "read_start", "read_end", "contig_id", "contig_start", "contig_end", F.size("mutations").cast("long").alias("mutation_count"), "is_reverse")
+        return self.parsed.select("read_id", "read_start", "read_end", "contig_id", "contig_start", "contig_end", F.size("mutations").cast("long").alias("mutation_count"), "is_reverse")
 
     def extract_mutations(self) -> DataFrame:
-        m = self.alignments.select("read_id", "contig_id", F.explode("mutations").alias("m"))
+        m = each_mutation(self.alignments, "read_id", "contig_id")
         return m.select("read_id", "contig_id", F.col("m.type").alias("mutation_type"), F.col("m.position").alias("contig_position"), F.col("m.nts").alias("nts"))
 
     def by_read_ids(self, ids: DataFrame, warn: bool = True) -> DataFrame:
@@ -104,11 +118,11 @@ class AlignmentStore:
             lost = [r["read_id"] for r in wanted.join(self.alignments.select("read_id").distinct(), "read_id", "left_anti").limit(20).collect()]
             if lost:
                 warnings.warn(f"unknown reads: {lost}", stacklevel=2)
-        a = self.alignments.join(wanted, "read_id", "left_semi")
+        a = with_mutations(self.alignments.join(wanted, "read_id", "left_semi"))
         return a.select(F.col("line_no").alias("alignment_index"), "read_id", "read_length", "contig_id", "read_start", "read_end", "contig_start", "contig_end", "is_reverse", F.size("mutations").cast("long").alias("num_mutations"))
 
     def _checked(self, intervals: DataFrame) -> DataFrame:
-        check_intervals(intervals, self._contigs if self._contigs is not None else self.alignments.select("contig_id").distinct())
+        check_intervals(intervals, self._contigs if self._contigs is not None else self.longest)
         return intervals
 
     def bins(self, intervals: DataFrame, width: int = 100) -> DataFrame:
@@ -124,4 +138,4 @@ class AlignmentStore:
 
     def verify(self, reads: DataFrame, contigs: DataFrame, max_reads: int = 0) -> DataFrame:
         a = self.alignments.where(F.col("line_no") < max_reads) if max_reads > 0 else self.alignments
-        return tally(verify_alignments(a, reads, contigs))
+        return tally(verify_alignments(with_mutations(a), reads, contigs))

@@ -29,12 +29,16 @@ SPAN = "(5 + q) + case when k >= 1 then 1 + q else 0 end + case when k >= 2 then
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view as alignments; its line number is the key, which orders rows alike in any engine."""
+    """The view as alignments, not yet parsed; its line number is the key, which orders rows alike in any engine."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = spark.sql(VIEW.format(keys=", ".join(KEY), source="{rows}"), rows=rows)
     rows = rows.selectExpr(f"struct({', '.join(KEY)}) as line_no", "*", f"{CS} as cs", f"cast({SPAN} as bigint) as span")
     a = rows.select("line_no", "read_id", F.col("span").alias("read_length"), "contig_id", F.lit(20128).cast("bigint").alias("contig_length"), F.lit(0).cast("bigint").alias("read_start"), F.col("span").alias("read_end"), "contig_start", (F.col("contig_start") + F.col("span")).alias("contig_end"), "is_reverse", "cs")
-    return a.withColumn("mutations", C.mutations(F.col("cs"), F.col("contig_start")))
+    return a
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.with_mutations(alignments(spark, sf_dir))
 
 
 def intervals(spark: SparkSession) -> DataFrame:
@@ -46,12 +50,12 @@ def store(spark: SparkSession, sf_dir: str) -> AlignmentStore:
 
 
 def cs_mutations(spark, sf_dir):
-    m = alignments(spark, sf_dir).select("read_id", "contig_id", "contig_start", F.explode("mutations").alias("m"))
+    m = C.each_mutation(alignments(spark, sf_dir), "read_id", "contig_id", "contig_start")
     return m.select("read_id", "contig_id", "contig_start", F.col("m.type").alias("type"), F.col("m.position").alias("position"), F.col("m.nts").alias("nts"), C.describe(F.col("m.type"), F.col("m.nts")).alias("text"))
 
 
 def cs_roundtrip(spark, sf_dir):
-    a = alignments(spark, sf_dir)
+    a = parsed(spark, sf_dir)
     made = C.regenerate(F.col("mutations"), F.col("contig_start"), F.col("contig_end"))
     return a.select("read_id", "contig_id", "contig_start", made.alias("cs"), C.is_valid(F.col("cs"), F.col("contig_start"), F.col("contig_end")).alias("valid"))
 
@@ -61,7 +65,7 @@ def mutation_dictionary(spark, sf_dir):
 
 
 def mutation_keys(spark, sf_dir):
-    m = alignments(spark, sf_dir).select("contig_id", F.explode("mutations").alias("m"))
+    m = C.each_mutation(alignments(spark, sf_dir), "contig_id")
     return m.groupBy(C.mutation_key(F.col("contig_id"), F.col("m")).alias("key")).agg(F.count("*").alias("n"))
 
 
@@ -98,7 +102,7 @@ def reads_by_id(spark, sf_dir):
 
 
 def bins_100(spark, sf_dir):
-    return store(spark, sf_dir).bins(intervals(spark).where("interval_id = 0"), 100)
+    return store(spark, sf_dir).bins(intervals(spark), 100)
 
 
 def bins_1000_multi(spark, sf_dir):
@@ -111,17 +115,17 @@ def bins_whole(spark, sf_dir):
     return s.bins(iv, 1000)
 
 
-def _pileup(mode: str, ids: str):
+def _pileup(mode: str):
     def query(spark, sf_dir):
-        return store(spark, sf_dir).pileup(intervals(spark).where(ids), mode)
+        return store(spark, sf_dir).pileup(intervals(spark), mode)
 
     return query
 
 
-def _full(style: str | None, ids: str = "true"):
+def _full(style: str | None):
     def rows(spark, sf_dir):
         s = store(spark, sf_dir)
-        return full_query(s.alignments, intervals(spark).where(ids), s.max_length, style)
+        return full_query(s.alignments, intervals(spark), s.max_length, style)
 
     return rows
 
@@ -131,24 +135,25 @@ def full_alignments(spark, sf_dir):
 
 
 def full_mutations(spark, sf_dir):
-    return mutation_rows(_full(None)(spark, sf_dir)).drop("height")
+    """With the heights by coordinate of their alignments."""
+    return mutation_rows(_full("by_coord")(spark, sf_dir))
 
 
 def heights_by_coord(spark, sf_dir):
-    return _full("by_coord", "interval_id < 4")(spark, sf_dir).select("alignment_index", "contig_id", "contig_start", "contig_end", "height")
+    return _full("by_coord")(spark, sf_dir).select("alignment_index", "contig_id", "contig_start", "contig_end", "height")
 
 
 def heights_by_mutations(spark, sf_dir):
-    return _full("by_mutations", "interval_id < 4")(spark, sf_dir).select("alignment_index", "contig_id", "contig_start", "contig_end", "height")
+    return _full("by_mutations")(spark, sf_dir).select("alignment_index", "contig_id", "contig_start", "contig_end", "height")
 
 
 def variant_type_counts(spark, sf_dir):
     of = lambda kind: F.sum(F.size(F.filter("mutations", lambda m: m["type"] == kind))).cast("long").alias(kind.lower())
-    return alignments(spark, sf_dir).groupBy("contig_id").agg(of("SUB"), of("INS"), of("DEL"))
+    return parsed(spark, sf_dir).groupBy("contig_id").agg(of("SUB"), of("INS"), of("DEL"))
 
 
 def density_by_alignment(spark, sf_dir):
-    return alignments(spark, sf_dir).select("read_id", "contig_start", C.density(F.size("mutations"), F.col("contig_start"), F.col("contig_end")).alias("density"))
+    return parsed(spark, sf_dir).select("read_id", "contig_start", C.density(F.size("mutations"), F.col("contig_start"), F.col("contig_end")).alias("density"))
 
 
 def reverse_complements(spark, sf_dir):
@@ -160,7 +165,7 @@ def reverse_complements(spark, sf_dir):
 
 def applied_mutations(spark, sf_dir):
     """A reference of one letter but for what the mutations expect, changed by them."""
-    a = alignments(spark, sf_dir).where("contig_id = 'ctg1'")
+    a = parsed(spark, sf_dir)
     sub = F.filter("mutations", lambda m: m["type"] == "SUB")
     span = (F.col("contig_end") - F.col("contig_start")).cast("int")
     at = (F.get(sub, 0)["position"] - F.col("contig_start")).cast("int")
@@ -179,10 +184,9 @@ QUERIES: dict[str, Query] = {
 } | {
     "interval_hits": hits,
     "interval_hits_bucketed": hits_bucketed,
-    "pileup_all": _pileup("all", "interval_id in (0, 4)"),
-    "pileup_covered": _pileup("covered", "interval_id in (0, 2)"),
-    "pileup_mutated": _pileup("mutated", "interval_id in (0, 2)"),
-    "pileup_overlapping_intervals": _pileup("covered", "true"),
+    "pileup_all": _pileup("all"),
+    "pileup_covered": _pileup("covered"),
+    "pileup_mutated": _pileup("mutated"),
 }
 
 K = ", ".join(KEY)
@@ -208,11 +212,11 @@ select g.contig, g.b::bigint as bin_start, (g.b + {width})::bigint as bin_end, {
 from g left join y on y.contig = g.contig and y.b = g.b left join z on z.contig = g.contig and z.b = g.b"""
 
 
-def _pileup_sql(mode: str, ids: str) -> str:
+def _pileup_sql(mode: str) -> str:
     keep = {"all": "true", "covered": "coverage > 0", "mutated": "varied > 0"}[mode]
     ref = "rest > 0" + (" or (coverage = 0 and rest = 0)" if mode == "all" else "")
     return f"""with {A}, {M}, {IV},
-i as (select * from iv where {ids}),
+i as (select * from iv),
 pool as (select distinct contig, unnest(range(s, e)) as position from i),
 w as (select {K}, count(*) as w from a join i on contig_id = contig and {HIT} group by all),
 c as (select contig_id as contig, unnest(range(contig_start, contig_end)) as position, w from a join w using ({K})),
@@ -226,9 +230,18 @@ select contig, (position + 1)::bigint as position, variant, n::bigint as count,
 
 
 FULL = f"""f as (select (row_number() over (order by interval_id, contig_start, {K}) - 1)::bigint as alignment_index, a.*, interval_id from a join iv on contig_id = contig and {HIT})"""
+BY_COORD = f"""hs as (select alignment_index, contig_id, contig_start, contig_end, row_number() over (partition by contig_id order by contig_start, {K}, interval_id) as rn from f),
+r as (select alignment_index, contig_id, contig_start, contig_end, rn, [contig_end] as ends, 0::bigint as height from hs where rn = 1
+  union all select o.alignment_index, o.contig_id, o.contig_start, o.contig_end, o.rn,
+    case when coalesce(list_position(list_transform(r.ends, lambda x: x <= o.contig_start), true), 0) = 0 then list_append(r.ends, o.contig_end)
+      else list_transform(r.ends, lambda x, i: case when i = list_position(list_transform(r.ends, lambda y: y <= o.contig_start), true) then o.contig_end else x end) end,
+    case when coalesce(list_position(list_transform(r.ends, lambda x: x <= o.contig_start), true), 0) = 0 then len(r.ends) else list_position(list_transform(r.ends, lambda x: x <= o.contig_start), true) - 1 end
+  from r join hs o on o.contig_id = r.contig_id and o.rn = r.rn + 1)"""
+#: The lowest level without a segment that the next one meets.
+FREE = "list_filter(range(0, len(r.placed) + 1), lambda k: len(list_filter(r.placed, lambda p: p.h = k and p.e >= o.contig_start and p.s < o.contig_end)) = 0)[1]"
 ORACLES: dict[str, str] = {
     "bins_1000_multi": _bins_sql("true", 1000),
-    "bins_100": _bins_sql("interval_id = 0", 100),
+    "bins_100": _bins_sql("true", 100),
     "bins_whole": _bins_sql("true", 1000, "iv as (select distinct 0 as interval_id, contig_id as contig, 0 as s, 21000 as e from a)"),
     "cs_mutations": f"with {A}, {M} select read_id, contig_id, contig_start, type, position, nts, text from t",
     "cs_roundtrip": f"with {A} select read_id, contig_id, contig_start, cs, true as valid from a",
@@ -241,23 +254,20 @@ ORACLES: dict[str, str] = {
     "interval_hits": f"with {A}, {IV} select interval_id::bigint as interval_id, read_id, contig_id, contig_start, contig_end from a join iv on contig_id = contig and {HIT}",
     "reads_by_id": f"with {A}, {M}, n as (select {K}, count(*) as c from m group by all) select read_id, span as read_length, contig_id, 0::bigint as read_start, span as read_end, contig_start, contig_end, is_reverse, coalesce(c, 0)::bigint as num_mutations from a left join n using ({K}) where read_id in ({', '.join(repr(f'read_{i}') for i in READS)})",
     "full_alignments": f"with {A}, {M}, {IV}, {FULL}, n as (select {K}, count(*) as c from m group by all) select alignment_index, read_id, span as read_length, contig_id, 0::bigint as read_start, span as read_end, contig_start, contig_end, is_reverse, cs as cs_tag, coalesce(c, 0)::bigint as mutation_count from f left join n using ({K})",
-    "full_mutations": f"with {A}, {M}, {IV}, {FULL} select f.alignment_index, f.read_id, f.contig_id, t.type as mutation_type, t.position as mutation_position, t.text as mutation_desc from f join t using ({K})",
-    "heights_by_coord": f"""with recursive {A}, {IV}, j as (select * from iv where interval_id < 4), {FULL.replace('join iv', 'join j')},
-o as (select alignment_index, contig_id, contig_start, contig_end, row_number() over (partition by contig_id order by contig_start, {K}, interval_id) as rn from f),
-r as (select alignment_index, contig_id, contig_start, contig_end, rn, [contig_end] as ends, 0::bigint as height from o where rn = 1
-  union all select o.alignment_index, o.contig_id, o.contig_start, o.contig_end, o.rn,
-    case when coalesce(list_position(list_transform(r.ends, lambda x: x <= o.contig_start), true), 0) = 0 then list_append(r.ends, o.contig_end)
-      else list_transform(r.ends, lambda x, i: case when i = list_position(list_transform(r.ends, lambda y: y <= o.contig_start), true) then o.contig_end else x end) end,
-    case when coalesce(list_position(list_transform(r.ends, lambda x: x <= o.contig_start), true), 0) = 0 then len(r.ends) else list_position(list_transform(r.ends, lambda x: x <= o.contig_start), true) - 1 end
-  from r join o on o.contig_id = r.contig_id and o.rn = r.rn + 1)
+    "full_mutations": f"with recursive {A}, {M}, {IV}, {FULL}, {BY_COORD} select f.alignment_index, f.read_id, f.contig_id, t.type as mutation_type, t.position as mutation_position, t.text as mutation_desc, r.height from f join t using ({K}) join r on r.alignment_index = f.alignment_index",
+    "heights_by_coord": f"with recursive {A}, {IV}, {FULL}, {BY_COORD} select alignment_index, contig_id, contig_start, contig_end, height from r",
+    "heights_by_mutations": f"""with recursive {A}, {M}, {IV}, {FULL}, n as (select {K}, count(*) as c from m group by all),
+hs as (select f.alignment_index, contig_id, contig_start, contig_end, row_number() over (partition by contig_id order by (coalesce(c, 0)::double / greatest(span, 1))::float desc, {K}, interval_id) as rn from f left join n using ({K})),
+r as (select alignment_index, contig_id, contig_start, contig_end, rn, 0::bigint as height, [{{'s': contig_start, 'e': contig_end, 'h': 0::bigint}}] as placed from hs where rn = 1
+  union all select o.alignment_index, o.contig_id, o.contig_start, o.contig_end, o.rn, {FREE} as height, list_append(r.placed, {{'s': o.contig_start, 'e': o.contig_end, 'h': {FREE}}})
+  from r join hs o on o.contig_id = r.contig_id and o.rn = r.rn + 1)
 select alignment_index, contig_id, contig_start, contig_end, height from r""",
     "variant_type_counts": f"with {A}, {M}, c as (select distinct contig_id from a) select c.contig_id, count(*) filter (type = 'SUB')::bigint as sub, count(*) filter (type = 'INS')::bigint as ins, count(*) filter (type = 'DEL')::bigint as del from c left join m on m.contig_id = c.contig_id group by 1",
     "density_by_alignment": f"with {A}, {M}, n as (select {K}, count(*) as c from m group by all) select read_id, contig_start, (coalesce(c, 0)::double / greatest(span, 1))::float as density from a left join n using ({K})",
     "reverse_complements": "with s as (select p_partkey, translate(lpad(bin(p_partkey), 20, '0'), '01', 'AG') as b from part), t as (select p_partkey, b || 'CTn' || substr(b, 5, 6) as seq from s) select p_partkey, seq, translate(reverse(seq), 'ACGT', 'TGCA') as revcomp, substr(seq, 3, 7) as part from t",
-    "applied_mutations": f"with {A} select read_id, contig_start, cs, repeat('T', 5 + q) || case when k >= 1 then 'A' || repeat('T', q) else '' end || case when k >= 2 then 'TT' || repeat('T', 3 + l_linenumber) || repeat('T', 10) else '' end as sequence, true as ok from a where contig_id = 'ctg1'",
-    "pileup_all": _pileup_sql("all", "interval_id in (0, 4)"),
-    "pileup_covered": _pileup_sql("covered", "interval_id in (0, 2)"),
-    "pileup_mutated": _pileup_sql("mutated", "interval_id in (0, 2)"),
-    "pileup_overlapping_intervals": _pileup_sql("covered", "true"),
+    "applied_mutations": f"with {A} select read_id, contig_start, cs, repeat('T', 5 + q) || case when k >= 1 then 'A' || repeat('T', q) else '' end || case when k >= 2 then 'TT' || repeat('T', 3 + l_linenumber) || repeat('T', 10) else '' end as sequence, true as ok from a",
+    "pileup_all": _pileup_sql("all"),
+    "pileup_covered": _pileup_sql("covered"),
+    "pileup_mutated": _pileup_sql("mutated"),
 }
 ORACLES["interval_hits_bucketed"] = ORACLES["interval_hits"]
