@@ -6,12 +6,14 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.full import STYLES
 from .operators.pileup import MODES
 from .operators.store import AlignmentStore
-from .sources.intervals import read_intervals
-from .sources.sequences import read_fasta, read_sequences, size_mb, write_fasta, write_fastq
+from .sources.intervals import queried_positions, read_intervals
+from .sources.sequences import fasta_lines, fastq_lines, read_fasta, read_sequences, size_mb
+from .sources.single import write_text_file
 
 
 def flag(text: str) -> bool:
@@ -37,9 +39,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def write_tsv(df: DataFrame, path: str, *order: str) -> None:
-    """A folder of tab-separated files with headers, in order over the files."""
-    (df.orderBy(*order) if order else df).write.option("sep", "\t").option("header", True).csv(path)
+def write_tsv(df: DataFrame, path: str) -> None:
+    """One tab-separated file with a header, rows in the order of df; null is empty."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    write_text_file(df.select(F.concat_ws("\t", *fields).alias("value")), path, "\t".join(df.columns))
+
+
+def by_contig(df: DataFrame, contigs: DataFrame, *order: str) -> DataFrame:
+    """df (contig, ...) in the order in which contigs appear first, then as told."""
+    place = contigs.select(F.col("contig_id").alias("contig"), "contig_index")
+    return df.join(place, "contig").orderBy("contig_index", *order).select(*df.columns)
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
@@ -55,13 +64,13 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             raise SystemExit("binsize must be over 0")
     spark = spark or SparkSession.builder.appName("readloom").getOrCreate()
     if o.command == "construct":
-        AlignmentStore.build(spark, o.ifn_paf, o.ofn, o.verify, o.ifn_reads, o.ifn_contigs, o.max_reads)
+        AlignmentStore.build(spark, o.ifn_paf, o.ofn, o.verify, o.ifn_reads, o.ifn_contigs, o.max_reads, o.quit_on_error)
     elif o.command == "info":
         print(f"store size: {size_mb(spark, o.ifn):.1f} MB")
         for key, value in AlignmentStore.load(spark, o.ifn).info().first().asDict().items():
             print(f"{key}: {value}")
     elif o.command == "extract":
-        store = AlignmentStore.load(spark, o.ifn)
+        store = AlignmentStore(AlignmentStore.load(spark, o.ifn).alignments.orderBy("line_no"))
         write_tsv(store.extract_alignments(), f"{o.ofn_prefix}_alignments.txt")
         write_tsv(store.extract_mutations(), f"{o.ofn_prefix}_mutations.txt")
     elif o.command == "verify":
@@ -70,20 +79,21 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         print(f"bad alignments: {t['bad']} of {t['total']} ({t['percent_bad']:.2f}%)")
         used = store.alignments.where(f"line_no < {o.max_reads}") if o.max_reads > 0 else store.alignments
         if o.ofn_contigs:
-            write_fasta(contigs.join(used.selectExpr("contig_id as id").distinct(), "id", "left_semi"), o.ofn_contigs)
+            write_text_file(fasta_lines(contigs.join(used.selectExpr("contig_id as id").distinct(), "id", "left_semi")), o.ofn_contigs)
         if o.ofn_reads:
-            write_fastq(reads.join(used.selectExpr("read_id as id").distinct(), "id", "left_semi"), o.ofn_reads)
+            write_text_file(fastq_lines(reads.join(used.selectExpr("read_id as id").distinct(), "id", "left_semi")), o.ofn_reads)
         return int(t["bad"] > 100)
     else:
         store, iv = AlignmentStore.load(spark, o.ifn_aln), read_intervals(spark, o.ifn_intervals)
         if o.mode == "full":
             alignments, mutations = store.full(iv, o.height_style)
-            write_tsv(alignments, f"{o.ofn_prefix}_alignments.tsv", "alignment_index")
-            write_tsv(mutations, f"{o.ofn_prefix}_mutations.tsv", "alignment_index", "mutation_position")
+            write_tsv(alignments.orderBy("alignment_index"), f"{o.ofn_prefix}_alignments.tsv")
+            write_tsv(mutations.orderBy("alignment_index", "mutation_position"), f"{o.ofn_prefix}_mutations.tsv")
         elif o.mode == "pileup":
-            write_tsv(store.pileup(iv, o.pileup_mode), f"{o.ofn_prefix}_pileup.tsv", "contig", "position", "cumsum")
+            write_tsv(by_contig(store.pileup(iv, o.pileup_mode), store.contigs, "position", "cumsum"), f"{o.ofn_prefix}_pileup.tsv")
+            print(f"positions queried: {queried_positions(iv).first()['positions']}")
         else:
-            write_tsv(store.bins(iv, o.binsize), f"{o.ofn_prefix}_bins.tsv", "contig", "bin_start")
+            write_tsv(by_contig(store.bins(iv, o.binsize), store.contigs, "bin_start"), f"{o.ofn_prefix}_bins.tsv")
     return 0
 
 

@@ -58,6 +58,14 @@ class AlignmentStore:
     def reads(self) -> DataFrame:
         return self._reads if self._reads is not None else self._dictionary("read")
 
+    def numbered_mutations(self) -> DataFrame:
+        """mutation_index, contig_id, type, position, nts: each mutation of a contig once, numbered within it by first appearance."""
+        m = with_mutations(self.alignments).select("line_no", "contig_id", F.posexplode_outer("mutations").alias("i", "m")).where("m is not null")
+        first = m.groupBy("contig_id", F.col("m.type").alias("type"), F.col("m.position").alias("position"), F.col("m.nts").alias("nts")).agg(F.min(F.struct("line_no", "i")).alias("first"))
+        every = numbered(first, "n", "contig_id", "first").drop("first")
+        begin = every.groupBy("contig_id").agg(F.min("n").alias("begin"))
+        return every.join(begin, "contig_id").select((F.col("n") - F.col("begin")).alias("mutation_index"), "contig_id", "type", "position", "nts")
+
     def mutation_dictionary(self) -> DataFrame:
         """Each mutation of a contig once."""
         m = each_mutation(self.alignments, "contig_id")
@@ -68,15 +76,16 @@ class AlignmentStore:
         return cls(read_paf(spark, path, max_reads, on_bad_cs))
 
     @classmethod
-    def build(cls, spark: SparkSession, paf: str, out: str, verify: bool = False, reads: str | None = None, contigs: str | None = None, max_reads: int = 0) -> AlignmentStore:
-        """Reads, checks and saves. With verify any alignment that doesn't match its sequences raises before anything is saved."""
+    def build(cls, spark: SparkSession, paf: str, out: str, verify: bool = False, reads: str | None = None, contigs: str | None = None, max_reads: int = 0, quit_on_error: bool = True) -> AlignmentStore:
+        """Reads, checks and saves. With verify any alignment that doesn't match its sequences raises before anything is saved: the first that is found ends the check, or, without quit_on_error, the tenth."""
         store = cls.from_paf(spark, paf, max_reads)
         if verify:
             if not (reads and contigs):
                 raise ValueError("verification needs reads and contigs")
-            t = store.verify(read_sequences(spark, reads), read_fasta(spark, contigs)).first()
-            if t["bad"]:
-                raise ValueError(f"{t['bad']} of {t['total']} alignments don't match their sequences")
+            checked = verify_alignments(store.parsed, read_sequences(spark, reads), read_fasta(spark, contigs))
+            bad = checked.where(~F.col("ok")).select("line_no", "read_id", "first_mismatch").limit(1 if quit_on_error else 10).collect()
+            if bad:
+                raise ValueError(f"found {len(bad)} bad alignments: {[tuple(r) for r in bad]}")
         store.save(out)
         return cls.load(spark, out)
 

@@ -11,7 +11,13 @@ from ..functions import cs as C
 from ..functions.sequences import apply_mutations, fragment, reverse_complement
 from ..operators.full import alignment_rows, full_query, mutation_rows
 from ..operators.overlap import interval_hits
+from ..operators.scratch import scratch_path
 from ..operators.store import AlignmentStore
+from ..operators.verify import tally, verify_alignments
+from ..sources.intervals import HEADER, interval_text, queried_positions, read_intervals
+from ..sources.paf import read_paf
+from ..sources.sequences import read_sequences, sniff, write_fasta, write_fastq
+from ..sources.single import write_text_file
 
 KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
 #: Overlapping, touching, distant and empty intervals, the last one repeated.
@@ -177,10 +183,73 @@ def applied_mutations(spark, sf_dir):
     return a.select("read_id", "contig_start", "cs", made["sequence"].alias("sequence"), made["ok"].alias("ok"))
 
 
+def contig_index(spark, sf_dir):
+    return store(spark, sf_dir).contigs.select("contig_index", "contig_id", "length")
+
+
+def read_index(spark, sf_dir):
+    return store(spark, sf_dir).reads.select("read_index", "read_id", "length")
+
+
+def mutation_index(spark, sf_dir):
+    return store(spark, sf_dir).numbered_mutations()
+
+
+def _sequences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Reads and contigs of the letter T alone: alignments without mutations match them forwards."""
+    a = alignments(spark, sf_dir)
+    made = lambda kind, n: a.select(F.col(f"{kind}_id").alias("id")).distinct().withColumn("sequence", F.repeat(F.lit("T"), F.lit(n)))
+    return made("read", 200), made("contig", 20128)
+
+
+def verified_alignments(spark, sf_dir):
+    checked = verify_alignments(parsed(spark, sf_dir), *_sequences(spark, sf_dir))
+    return checked.select("read_id", "contig_id", F.col("line_no.l_partkey").alias("l_partkey"), "substitutions", "insertions", "deletions", "ok", "first_mismatch")
+
+
+def verification_tally(spark, sf_dir):
+    return tally(verify_alignments(parsed(spark, sf_dir), *_sequences(spark, sf_dir)))
+
+
+def paf_scan(spark, sf_dir):
+    """The view written as PAF text, in order, and read again."""
+    a = alignments(spark, sf_dir).orderBy("line_no")
+    fields = ["read_id", "read_length", "read_start", "read_end", F.when(F.col("is_reverse"), "-").otherwise("+"), "contig_id", "contig_length", "contig_start", "contig_end", F.lit("0"), F.lit("0"), F.lit("60"), F.lit("NM:i:0"), F.concat(F.lit("cs:Z:"), "cs")]
+    path = scratch_path(spark)
+    a.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
+    return read_paf(spark, path).select("line_no", "read_id", "read_length", "contig_id", "contig_length", "read_start", "read_end", "contig_start", "contig_end", "is_reverse", "cs", F.size("mutations").cast("long").alias("n_mutations"))
+
+
+def sequence_files(spark, sf_dir):
+    """Sequences of the parts written as FASTA and as FASTQ, and read again."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("p%d", "p_partkey").alias("id"), F.translate(F.bin("p_partkey"), "01", "AG").alias("sequence"))
+    out = []
+    for write in (write_fasta, write_fastq):
+        path = scratch_path(spark)
+        write(p, path)
+        out.append(read_sequences(spark, path).withColumn("format", F.lit(sniff(spark, path))))
+    return out[0].unionByName(out[1])
+
+
+def interval_file(spark, sf_dir):
+    """The intervals written as text and read again, with their text and the positions they hold."""
+    path = f"{scratch_path(spark)}.txt"
+    write_text_file(intervals(spark).orderBy("interval_id").select(F.concat_ws("\t", "contig_id", "start", "end").alias("value")), path, HEADER)
+    iv = read_intervals(spark, path)
+    return iv.select("interval_id", "contig_id", "start", "end", interval_text(F.col("contig_id"), F.col("start"), F.col("end")).alias("text")).join(F.broadcast(queried_positions(iv)))
+
+
+def saved_store(spark, sf_dir):
+    """A store saved and loaded: its bins."""
+    path = scratch_path(spark)
+    store(spark, sf_dir).save(path)
+    return AlignmentStore.load(spark, path).bins(intervals(spark), 100)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (bins_1000_multi, bins_100, bins_whole, cs_mutations, cs_roundtrip, mutation_dictionary, mutation_keys, store_info, contig_dictionary, extract_alignments, extract_mutations, reads_by_id, full_alignments, full_mutations, heights_by_coord, heights_by_mutations, variant_type_counts, density_by_alignment, reverse_complements, applied_mutations)
+    for f in (bins_1000_multi, bins_100, bins_whole, cs_mutations, cs_roundtrip, mutation_dictionary, mutation_keys, store_info, contig_dictionary, extract_alignments, extract_mutations, reads_by_id, full_alignments, full_mutations, heights_by_coord, heights_by_mutations, variant_type_counts, density_by_alignment, reverse_complements, applied_mutations, contig_index, read_index, mutation_index, verified_alignments, verification_tally, paf_scan, sequence_files, interval_file, saved_store)
 } | {
     "interval_hits": hits,
     "interval_hits_bucketed": hits_bucketed,
@@ -271,3 +340,15 @@ select alignment_index, contig_id, contig_start, contig_end, height from r""",
     "pileup_mutated": _pileup_sql("mutated"),
 }
 ORACLES["interval_hits_bucketed"] = ORACLES["interval_hits"]
+ORACLES["saved_store"] = ORACLES["bins_100"]
+CHECKED = "case when k = 0 and not is_reverse then null when is_reverse then 0 else 5 + q end"
+ORACLES |= {
+    "contig_index": f"with {A} select (row_number() over (order by f) - 1)::bigint as contig_index, contig_id, 20128::bigint as length from (select contig_id, min(row({K})) as f from a group by 1)",
+    "read_index": f"with {A} select (row_number() over (order by f) - 1)::bigint as read_index, read_id, length from (select read_id, min(row({K})) as f, arg_min(span, row({K})) as length from a group by 1)",
+    "mutation_index": f"with {A}, {M} select (row_number() over (partition by contig_id order by f) - 1)::bigint as mutation_index, contig_id, type, position, nts from (select contig_id, type, position, nts, min(row({K}, i)) as f from m group by all)",
+    "verified_alignments": f"with {A} select read_id, contig_id, l_partkey, (k >= 1)::bigint as substitutions, (k >= 2)::bigint as insertions, (k >= 2)::bigint as deletions, k = 0 and not is_reverse as ok, ({CHECKED})::int as first_mismatch from a",
+    "verification_tally": f"with {A} select count(*) filter (not (k = 0 and not is_reverse)) as bad, count(*) as total, 100.0::double * count(*) filter (not (k = 0 and not is_reverse)) / count(*) as percent_bad from a",
+    "paf_scan": f"with {A} select (row_number() over (order by {K}) - 1)::bigint as line_no, read_id, span as read_length, contig_id, 20128::bigint as contig_length, 0::bigint as read_start, span as read_end, contig_start, contig_end, is_reverse, cs, case k when 0 then 0 when 1 then 1 else 3 end::bigint as n_mutations from a",
+    "sequence_files": "select 'p' || p_partkey as id, translate(bin(p_partkey), '01', 'AG') as sequence, unnest(['fasta', 'fastq']) as format from part",
+    "interval_file": f"with {IV} select interval_id::bigint as interval_id, contig as contig_id, s::bigint as start, e::bigint as end, contig || ':' || s || '-' || e as text, (select sum(e - s) from iv)::bigint as positions from iv",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .paf import numbered_lines
@@ -34,3 +34,13 @@ def intervals_from(df: DataFrame, one_based: bool = True) -> DataFrame:
     shift = 1 if one_based else 0
     number = F.col("interval_id").cast("bigint") if "interval_id" in df.columns else F.monotonically_increasing_id()
     return df.select(number.alias("interval_id"), F.col("contig").alias("contig_id"), (F.col("start") - shift).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+def interval_text(contig: Column, start: Column, end: Column) -> Column:
+    """`contig:start-end`."""
+    return F.format_string("%s:%d-%d", contig, start, end)
+
+
+def queried_positions(intervals: DataFrame) -> DataFrame:
+    """positions: how many the intervals hold, those of several as often."""
+    return intervals.agg(F.coalesce(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0))), F.lit(0)).cast("bigint").alias("positions"))

@@ -9,9 +9,12 @@ from .paf import numbered_lines
 
 
 def read_fasta(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """id, sequence of records of any number of lines; an id ends at the first space. ids (id) keeps those records alone."""
-    parts = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    lines = F.split("value", r"\r?\n")
+    """id, sequence of records of any number of lines; an id ends at the first space. ids (id) keeps those records alone.
+
+    A record begins with a mark at the start of a line; marks elsewhere are text.
+    """
+    parts = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    lines = F.split(F.regexp_replace("value", r"^>|\r$", ""), r"\r?\n")
     out = parts.select(F.regexp_extract(lines[0], r"^([^ ]*)", 1).alias("id"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("sequence"))
     return out if ids is None else out.join(ids.select("id").distinct(), "id", "left_semi")
 
@@ -38,14 +41,22 @@ def read_sequences(spark: SparkSession, path: str, ids: DataFrame | None = None)
     return (read_fasta if kind == "fasta" else read_fastq)(spark, path, ids)
 
 
+def fasta_lines(df: DataFrame) -> DataFrame:
+    return df.select(F.concat(F.lit(">"), "id", F.lit("\n"), "sequence").alias("value"))
+
+
+def fastq_lines(df: DataFrame) -> DataFrame:
+    return df.select(F.concat(F.lit("@"), "id", F.lit("\n"), "sequence", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("sequence"))).alias("value"))
+
+
 def write_fasta(df: DataFrame, path: str) -> None:
-    """df (id, sequence) as FASTA text."""
-    df.select(F.concat(F.lit(">"), "id", F.lit("\n"), "sequence").alias("value")).write.text(path)
+    """df (id, sequence) as FASTA text: a folder of files."""
+    fasta_lines(df).write.text(path)
 
 
 def write_fastq(df: DataFrame, path: str) -> None:
-    """df (id, sequence) as FASTQ text of quality I."""
-    df.select(F.concat(F.lit("@"), "id", F.lit("\n"), "sequence", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("sequence"))).alias("value")).write.text(path)
+    """df (id, sequence) as FASTQ text of quality I: a folder of files."""
+    fastq_lines(df).write.text(path)
 
 
 def size_mb(spark: SparkSession, path: str) -> float:

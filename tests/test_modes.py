@@ -1,8 +1,12 @@
+import random
+from collections import Counter
+
 import model
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import cs as C
+from readloom.functions.sequences import apply_mutations
 from readloom.operators.full import full_query, stack_by_coord
 from readloom.operators.overlap import interval_hits
 from readloom.operators.pileup import pileup_query
@@ -105,3 +109,48 @@ def test_store_tables(store, rows, spark):
     with pytest.warns(UserWarning):
         got = store.by_read_ids(spark.createDataFrame([(rows[0]["read_id"],), (rows[0]["read_id"],), ("none",)], "read_id string"))
         assert got.count() == sum(r["read_id"] == rows[0]["read_id"] for r in rows)
+
+
+def test_a_read_of_many_mutations(spark):
+    """20,000 mutations in one read, there and back, and applied."""
+    rng = random.Random(4)
+    ref, ops, made, want = [], [], [], []
+    for _ in range(20_000):
+        gap = "".join(rng.choice("acgt") for _ in range(rng.randrange(1, 9)))
+        ref.append(gap), made.append(gap), ops.append(f":{len(gap)}")
+        at = sum(map(len, ref[-1:])) + (want[-1][3] if want else 0)
+        kind, a, b = rng.choice("*+-"), rng.choice("ac"), rng.choice("gt")
+        ops.append("*" + a + b if kind == "*" else kind + a + b)
+        if kind == "*":
+            ref.append(a), made.append(b), want.append(("SUB", at, (b + a).upper(), at + 1))
+        elif kind == "+":
+            made.append(a + b), want.append(("INS", at, (a + b).upper(), at))
+        else:
+            ref.append(a + b), want.append(("DEL", at, (a + b).upper(), at + 2))
+    cs, reference = "".join(ops), "".join(ref).upper()
+    df = spark.createDataFrame([(cs, 100, 100 + len(reference), reference)], "cs string, contig_start long, contig_end long, reference string")
+    df = df.withColumn("m", C.mutations(F.col("cs"), F.col("contig_start")))
+    r = df.select("m", C.regenerate(F.col("m"), F.col("contig_start"), F.col("contig_end")).alias("cs"), apply_mutations(F.col("reference"), F.col("m"), F.col("contig_start")).alias("made")).first()
+    assert [(m["type"], m["position"] - 100, m["nts"]) for m in r["m"]] == [w[:3] for w in want]
+    assert r["cs"] == cs and r["made"]["ok"] and r["made"]["sequence"] == "".join(made).upper()
+
+
+def test_hot_contig(spark):
+    """Many intervals of one contig: dealt over buckets, broadcast or not, and held against all pairs."""
+    rng = random.Random(6)
+    a = [(i, f"r{i}", 9, "c", 9, 0, 5, s := rng.randrange(400_000), s + rng.randrange(1, 3000), False, ":5") for i in range(300)]
+    iv = [(k, "c", s := rng.randrange(400_000), s + rng.randrange(4000)) for k in range(200)]
+    rows, intervals = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(iv, "interval_id long, contig_id string, start long, end long")
+    longest = max(r[8] - r[7] for r in a)
+    want = Counter((r[0], k) for r in a for k, _, s, e in iv if r[7] <= e and (r[8] > s or (r[8] == s and r[8] - r[7] < longest)))
+    for how in (None, False):
+        assert Counter((r["line_no"], r["interval_id"]) for r in interval_hits(rows, intervals, longest, broadcast=how).collect()) == want
+    got = {(r["contig"], r["position"]): r["coverage"] for r in pileup_query(rows, intervals, longest, "covered").collect()}
+    weight = Counter(k[0] for k in want.elements())
+    inside = {p for _, _, s, e in iv for p in range(s, e)}
+    cover = Counter()
+    for r in a:
+        for p in range(r[7], r[8]):
+            if weight[r[0]] and p in inside:
+                cover["c", p + 1] += weight[r[0]]
+    assert got == dict(cover)

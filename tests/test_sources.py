@@ -61,6 +61,11 @@ def test_sequences(spark, tmp_path):
     fq = written(tmp_path / "r.fq", "@r1 x", "ACG", "+", "III", "@r2", "TT", "+", "II")
     assert sorted(map(tuple, sequences.read_sequences(spark, fa).collect())) == [("c", "ACGTAC"), ("d", "GG")]
     assert sorted(map(tuple, sequences.read_sequences(spark, fq).collect())) == [("r1 x", "ACG"), ("r2", "TT")]
+    odd = written(tmp_path / "o.fa", ">c1 map a->b", "AC", "GT", ">c2", "G>T", "", ">c3")
+    assert sorted(map(tuple, sequences.read_fasta(spark, odd).collect())) == [("c1", "ACGT"), ("c2", "G>T"), ("c3", "")]
+    dos = tmp_path / "d.fa"
+    dos.write_bytes(b">c one\r\nACGT\r\n>d\r\nGG\r\n")
+    assert sorted(map(tuple, sequences.read_fasta(spark, str(dos)).collect())) == [("c", "ACGT"), ("d", "GG")]
     only = spark.createDataFrame([("d",)], "id string")
     assert sequences.read_fasta(spark, fa, only).count() == 1
     with pytest.raises(ValueError):
@@ -110,10 +115,28 @@ def test_commands(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main(["query", "-ifn_aln", store, "-ifn_intervals", iv, "-ofn_prefix", out, "-mode", "none"], spark)
     wrong = written(tmp_path / "w.fq", "@r1", contig[:10], "+", "I" * 10, "@r2", back, "+", "I" * 10)
+    for quit_, n in ((True, 1), (False, 2)):
+        both = written(tmp_path / "w2.fq", "@r1", contig[:10], "+", "I" * 10, "@r2", contig[:10], "+", "I" * 10)
+        with pytest.raises(ValueError, match=f"found {n} bad"):
+            AlignmentStore.build(spark, paf, str(tmp_path / "s2"), True, both, fa, quit_on_error=quit_)
     with pytest.raises(ValueError):
         AlignmentStore.build(spark, paf, str(tmp_path / "s2"), True, wrong, fa)
 
 
+def test_command_output_is_single_files_in_store_order(spark, tmp_path):
+    paf = written(tmp_path / "a.paf", *[line("*ac:9", 5, 15, f"r{9 - i}").replace("\tc\t", f"\tz{9 - i}\t") for i in range(6)])
+    iv = written(tmp_path / "i.txt", "contig\tstart\tend", *[f"z{k}\t0\t20" for k in (4, 9, 7)])
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    cli.main(["construct", "-ifn_paf", paf, "-ofn", store], spark)
+    cli.main(["extract", "-ifn", store, "-ofn_prefix", out], spark)
+    rows = [x.split("\t") for x in open(f"{out}_alignments.txt").read().splitlines()]
+    assert rows[0][0] == "read_id" and [r[0] for r in rows[1:]] == [f"r{9 - i}" for i in range(6)]
+    assert len(open(f"{out}_mutations.txt").read().splitlines()) == 7
+    cli.main(["query", "-ifn_aln", store, "-ifn_intervals", iv, "-ofn_prefix", out, "-mode", "bin", "-binsize", "10"], spark)
+    rows = [x.split("\t") for x in open(f"{out}_bins.tsv").read().splitlines()]
+    assert [r[0] for r in rows[1:]] == ["z9", "z9", "z7", "z7", "z4", "z4"]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     written(tmp_path / "in" / "a.paf", line(), line("*ac:9", 5, 15, "r2"))
