@@ -52,15 +52,15 @@ PASSES, STEP, RATE, TRUST = 40, 4096, 0.02, 8.0
 #: Least probability of a bit; shares in which a text's own earlier tokens are mixed in, each as likely at its start.
 LEAST, SHARES = 1e-4, (0.0, 0.05, 0.15, 0.35, 0.7, 0.95)
 #: Slots in a piece of the tables that is sent; tokens whose bits are looked at at once; bytes of text for it.
-PIECE, CHUNK, SLICE = 1 << 15, 1 << 15, 2 << 20
+PIECE, CHUNK, SLICE = 1 << 15, 1 << 14, 2 << 20
 BLANK = 32
 START_HASH, END_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-NODE_ODD, SLOT_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+NODE_ODD, PLACE_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BYTE_MIX = flat.mix(np.arange(1, 257, dtype=np.uint64) * flat.M1)
 
 
 class Walks:
-    """Walk of each symbol down the Huffman tree of the weights: first entry and number of entries, each (node, depth, bit) packed."""
+    """Walk of each symbol down the Huffman tree of the weights: first entry and number of entries, each with its node's hash, and stage of depth and bit."""
 
     def __init__(self, weights: np.ndarray, base: int):
         n = len(weights)
@@ -77,22 +77,31 @@ class Walks:
             depth[i] = depth[parent[i]] + 1
         self.size = np.array(depth[:n], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.entry = np.zeros(int(self.size.sum()), np.int64)
+        self.hash, self.step = np.zeros(int(self.size.sum()), np.uint64), np.zeros(int(self.size.sum()), np.uint8)
         at, here = self.size - 1, np.arange(n)
         stage = np.array([0, 1, 1, *[2] * 3, *[3] * 99])
         while (on := np.flatnonzero(at >= 0)).size:
             up = parent[here[on]]
-            self.entry[self.first[on] + at[on]] = (up - n + base) << 3 | stage[np.minimum(at[on], 99)] << 1 | side[here[on]]
+            self.hash[self.first[on] + at[on]] = (up - n + base).astype(np.uint64) * NODE_ODD
+            self.step[self.first[on] + at[on]] = stage[np.minimum(at[on], 99)] << 1 | side[here[on]]
             here[on] = up
             at[on] -= 1
         self.end = base + n - 1
 
-    def events(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each step of each symbol's walk: place of the symbol, node, stage of depth and bit."""
+    def events(self, symbol: np.ndarray, contexts: list[np.ndarray], shift: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """For each step of each symbol's walk: stage of depth, bit and the slots of the contexts; and the number of steps of each symbol."""
         size = self.size[symbol]
         end = np.cumsum(size)
-        entry = self.entry[np.repeat(self.first[symbol] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-        return np.repeat(np.arange(len(symbol)), size), (entry >> 3).astype(np.uint64), entry >> 1 & 3, entry & 1
+        at = np.repeat(self.first[symbol] - (end - size), size)
+        at += np.arange(len(at))
+        step, node = self.step[at], self.hash[at]
+        slots = []
+        for c in contexts:
+            slot = np.repeat(c, size)
+            slot += node
+            slot >>= shift
+            slots.append(slot.view(np.int64))
+        return size, step >> 1, step & np.uint8(1), slots
 
 
 class Tokens:
@@ -205,19 +214,20 @@ class Mixer:
         return out
 
     def events(self, t: Tokens, symbol: np.ndarray):
-        """Bits of the tokens, a chunk at a time: first token of the chunk, token of each bit from there, kind and stage, bit, and the slots of the contexts."""
+        """Bits of the tokens, a chunk at a time: token of each bit, kind and stage, bit, and the slots of the contexts. Tokens do not fall."""
         one, two = t.before()
+        shift = np.uint64(64 - self.bits)
         for a in range(0, len(symbol), CHUNK):
             z = min(a + CHUNK, len(symbol))
-            at, node, stage, bit = self.words.events(symbol[a:z])
-            context = (None, (t.cls[a:z] + np.uint64(1)) * flat.M3, flat.mix(one[a:z] + flat.M1), flat.mix(one[a:z] * flat.M3 + flat.mix(two[a:z])))
-            yield a, at, stage, bit, [self._slots(c, at, node) for c in context]
+            contexts = [np.zeros(z - a, np.uint64), (t.cls[a:z] + np.uint64(1)) * flat.M3, flat.mix(one[a:z] + flat.M1), flat.mix(one[a:z] * flat.M3 + flat.mix(two[a:z]))]
+            size, stage, bit, slots = self.words.events(symbol[a:z], contexts, shift)
+            yield np.repeat(np.arange(a, z), size), stage, bit, slots
             spelt = np.flatnonzero(symbol[a:z] == self.escape) + a
             if len(spelt):
-                unit, byte, context = self._spelling(t, spelt)
+                unit, byte, contexts = self._spelling(t, spelt)
                 for i in range(0, len(byte), CHUNK):
-                    at, node, stage, bit = self.letters.events(byte[i : i + CHUNK])
-                    yield a, unit[i : i + CHUNK][at] - a, stage + DEPTHS, bit, [self._slots(c[i : i + CHUNK], at, node) for c in context]
+                    size, stage, bit, slots = self.letters.events(byte[i : i + CHUNK], [c[i : i + CHUNK] for c in contexts], shift)
+                    yield np.repeat(unit[i : i + CHUNK], size), stage + np.uint8(DEPTHS), bit, slots
 
     def _spelling(self, t: Tokens, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
         """The bytes of the tokens and a blank after each: token, byte and contexts of each."""
@@ -235,19 +245,13 @@ class Mixer:
             b[pos < k] = 0
             known |= b << np.uint64(8 * (k - 1))
             contexts.append(flat.mix(known | (t.cls[token][unit] + np.uint64(32 * k)) << np.uint64(24)))
-        power = np.cumprod(np.concatenate([[1], np.full(int(pos.max()), SLOT_ODD)]).astype(np.uint64))
+        power = np.cumprod(np.concatenate([[1], np.full(int(pos.max()), PLACE_ODD)]).astype(np.uint64))
         total = np.cumsum(BYTE_MIX[byte] * power[pos]) - BYTE_MIX[byte] * power[pos]
         contexts.append(flat.mix(total - total[first][unit] + np.uint64(3)))
         return token[unit], byte, tuple(contexts)
 
-    def _slots(self, context: np.ndarray | None, at: np.ndarray, node: np.ndarray) -> np.ndarray:
-        key = node * NODE_ODD
-        if context is not None:
-            key += context[at]
-        return ((key * SLOT_ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def cells(self, codes: list[np.ndarray], stage: np.ndarray) -> np.ndarray:
-        cell = stage.copy()
+        cell = stage.astype(np.int32)
         for c in codes:
             cell *= CODES
             cell += c
@@ -285,10 +289,11 @@ class Mixer:
         """Log10 probability of each token."""
         out = np.zeros(len(symbol))
         table = self.log.ravel()
-        for a, at, stage, bit, slots in self.events(t, symbol):
-            cell = self.cells([c[s] for c, s in zip(self.codes, slots)], stage)
-            n = min(CHUNK, len(symbol) - a)
-            out[a : a + n] += np.bincount(at, table[2 * cell + bit], n)
+        for token, stage, bit, slots in self.events(t, symbol):
+            cell = 2 * self.cells([c[s] for c, s in zip(self.codes, slots)], stage) + bit
+            first = token[0]
+            each = np.bincount(token - first, table[cell])
+            out[first : first + len(each)] += each
         return out
 
 
@@ -375,10 +380,10 @@ def gather_tables(docs: DataFrame, model: Mixer) -> tuple[list[np.ndarray], list
         for b in flat.sliced(batches, 0, SLICE):
             t = Tokens(b.column(0))
             half = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[t.row] * (2 * slots)
-            for a, at, _, bit, found in m.events(t, m.symbols(t)):
-                cell = half[a + at] + bit
+            for token, _, bit, found in m.events(t, m.symbols(t)):
+                cell, one = half[token] + bit, np.ones(len(token), np.int32)
                 for table, s in zip(tables, found):
-                    np.add.at(table, 2 * s + cell, 1)
+                    np.add.at(table, 2 * s + cell, one)
         for which, table in enumerate(tables):
             table = table.reshape(2, slots, 2)
             for part in range(slots // size):
@@ -412,10 +417,10 @@ def gather_outcomes(docs: DataFrame, model: Mixer) -> tuple[np.ndarray, np.ndarr
         for b in flat.sliced(batches, 0, SLICE):
             t = Tokens(b.column(0))
             other = (1 - b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))[t.row] * slots
-            for a, at, stage, bit, found in m.events(t, m.symbols(t)):
-                shift = other[a + at]
-                cell = m.cells([c[s + shift] for c, s in zip(m.codes, found)], stage)
-                np.add.at(seen, 2 * cell + bit, 1)
+            for token, stage, bit, found in m.events(t, m.symbols(t)):
+                shift = other[token]
+                cell = 2 * m.cells([c[s + shift] for c, s in zip(m.codes, found)], stage) + bit
+                np.add.at(seen, cell.astype(np.int64), np.ones(len(cell), np.int64))
         count = seen.reshape(-1, 2)
         at = np.flatnonzero(count.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at, 0]), pa.array(count[at, 1])], ["cell", "n0", "n1"])
