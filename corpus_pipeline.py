@@ -44,7 +44,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: SQL can express neither the toxicity model nor the encoding; tests hold each stage against a plain version.
+#: SQL can express neither the toxicity model nor the encoding; test_pipeline_stages holds each stage against a plain version.
 ORACLE_SQL = None
 
 
