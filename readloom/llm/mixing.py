@@ -72,6 +72,8 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"),
         *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
+    if not carry:
+        rows = materialise(rows)  # else the ranges' sampling would count all words once more
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("source").asc_nulls_last(), "size", "h", "doc_id"]
     placed = materialise(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()).drop("h"))

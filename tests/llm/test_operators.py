@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import random
 import re
@@ -66,8 +67,9 @@ def test_warc_many_runs(spark, monkeypatch):
 
 
 def test_quality_counts(spark, odd_docs):
-    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source").union(odd_docs.where("doc_id is not null and doc_id <> 6").selectExpr("doc_id + 100000", "text", "lang", "source"))
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source").union(odd_docs.selectExpr("doc_id + 100000", "text", "lang", "source"))
     got = {r["doc_id"]: r for r in quality.quality_verdicts(docs).collect()}
+    assert Counter(r["doc_id"] for r in quality.quality_verdicts(docs).collect()) == Counter(d["doc_id"] for d in docs.collect())
     for d in docs.collect():
         text = d["text"] or ""
         words = WORD.findall(text)
@@ -185,22 +187,13 @@ def test_minhash(spark, odd_docs, no_docs, monkeypatch):
                 w[rng.randrange(len(w))] = rng.choice(["Xa", "b", "c"])
             rows.append((len(rows) + 100, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").union(odd_docs.select("doc_id", "text"))
-    sets = {}
-    for d in docs.where("doc_id is not null").collect():
-        w = WORD.findall(lower(d["text"]))
-        sets[d["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    root = {i: i for i in sets}
-    find = lambda x: x if root[x] == x else find(root[x])
-    for i, s in sets.items():
-        for j, t in sets.items():
-            if i < j and s and t and 100 * len(s & t) >= 75 * len(s | t):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+    sets = {d["doc_id"]: shingles(d["text"]) for d in docs.where("doc_id is not null").collect()}
+    part = near_components(sets)
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == docs.count()
     for r in got:
         if r["doc_id"] is not None:
-            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), r["doc_id"] == find(r["doc_id"]))
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), part[r["doc_id"]], r["doc_id"] == part[r["doc_id"]])
     assert minhash.near_duplicates(no_docs).count() == 0
     assert Counter(r["doc_id"] for r in minhash.one_of_each(odd_docs).collect()) == Counter([1, 3, 4, 5, 6, None, 8, 9])
 
@@ -467,19 +460,98 @@ def test_chat_odd_rows(spark):
     assert got[None]["turns_sha256"] == sha("a\nb\n<|im_start|>\n")
     assert got[-1]["n_turns"] == 2 and got[-1]["loss_sha256"] == sha(chat.ODD_TEXT)
     assert set(x["conv_id"] for x in chat.chat_query(df.where("false")).collect()) == {-1}
+    long = [(7, k, "assistant", "é<|x|>" * 50_000 if k == 3 else f"t{k}") for k in range(400)]
+    r = {x["conv_id"]: x for x in chat.chat_query(spark.createDataFrame(long, df.drop("n_turns").schema)).collect()}[7]
+    assert (r["n_turns"], r["loss_sha256"]) == (400, sha("".join(x[3] for x in long)))
+
+
+def test_chat_formats_typed_parts(spark):
+    """JSON lists of parts through the operator: placeholders in order, references, expanded tokens, text read back."""
+    parts = [{"type": "image", "ref": "i.png", "width": 28, "height": 28}, {"type": "text", "text": "a <|im_end|> b"}, {"type": "document", "ref": "d.pdf", "pages": 2}, {"type": "audio", "ref": "s.wav", "seconds": 2}]
+    rows = [(1, 0, "user", json.dumps(parts)), (1, 1, "assistant", json.dumps(parts[1:3])), (2, 0, "assistant", None), (2, 1, "assistant", "[]")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_turns(turns, as_json=True)
+    got = {(r["conv_id"], r["turn"]): r for r in made.collect()}
+    assert [tuple(a) for a in got[1, 0]["attachments"]] == [("image", 1, "i.png", 4), ("document", 1, "d.pdf", 512), ("audio", 1, "s.wav", 50)] and got[1, 0]["expanded_tokens"] == 566
+    assert got[1, 0]["formatted"].index("<|image_1|>") < got[1, 0]["formatted"].index(" b") < got[1, 0]["formatted"].index("<|document_1|>") < got[1, 0]["formatted"].index("<|audio_1|>")
+    assert got[1, 0]["loss"] == [] and got[2, 0]["expanded_tokens"] == 0
+    back = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    assert (back[1]["n_turns"], back[1]["loss_chars"], back[1]["loss_sha256"]) == (2, 14, hashlib.sha256(b"a <|im_end|> b").hexdigest())
+    assert (back[2]["n_turns"], back[2]["loss_chars"]) == (2, 0)
 
 
 # pipeline
 
 
+def shingles(text):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def near_components(sets):
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, s in sets.items():
+        for j, t in sets.items():
+            if i < j and s and t and 100 * len(s & t) >= 75 * len(s | t):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
 def test_pipeline_stages(spark, odd_docs):
+    """Each stage against a plain version, over rows with null and repeated ids, copies, shared passages and null sources."""
+    import sentencepiece
+
     import corpus_pipeline
     from readloom.llm.runtime import materialise
 
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = materialise(stage(spark, docs, SF))
-        assert out.columns == docs.columns, name
-        docs = out
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert last.count() == docs.count()
+    rng = random.Random(9)
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "épsilon"]) + str(rng.randrange(50)) for _ in range(n))
+    shared, rows = text(30), []
+    for i in range(40):
+        body = text(rng.randrange(20, 60))
+        body = body + " " + shared if i % 5 == 0 else rows[-1][1] + " more" if i % 7 == 1 else body
+        rows.append((200 + i, body, "en", rng.choice(["a", "b", "c", None]), len(body)))
+    docs = odd_docs.select(*names).union(spark.createDataFrame(rows, odd_docs.select(*names).schema))
+    each = lambda df: Counter(tuple(r) for r in df.select(*names).collect())
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, docs):
+        out = materialise(stages[name](spark, docs, SF))
+        assert name == "encode" or out.columns == names
+        return out
+
+    labels = table(spark, SF, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
+    model = toxicity.fit(docs, labels)
+    one = lambda t: model.scores(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0]
+    clean = run("toxicity", docs)
+    assert each(clean) == Counter({r: n for r, n in each(docs).items() if one(r[1]) < toxicity.THRESHOLD})
+
+    sets = {r["doc_id"]: shingles(r["text"]) for r in clean.collect() if r["doc_id"] is not None}
+    part = near_components(sets)
+    want = Counter(r for r in each(clean).elements() if r[0] is None) + Counter(r for r in each(clean) if r[0] is not None and part[r[0]] == r[0])
+    single = run("near_duplicates", clean)
+    assert each(single) == want and len(want) < sum(each(clean).values())
+
+    order = sorted(single.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] is not None, r["text"] or ""))
+    marks = brute_repeats([(k, (r["text"] or "").encode()) for k, r in enumerate(order)])
+    want = Counter()
+    for k, r in enumerate(order):
+        left = None if r["text"] is None else bytes(np.frombuffer(r["text"].encode(), np.uint8)[~marks[k]]).decode(errors="ignore")
+        want[(r["doc_id"], left, r["lang"], r["source"], None if r["n_chars"] is None or left is None else len(left))] += 1
+    cut = run("repeats", single)
+    assert each(cut) == want and sum(m.sum() for m in marks.values()) > 0
+
+    c = duckdb.connect()
+    c.register("documents", cut.toArrow())
+    taken = {i: n // size for i, size, n in c.execute(f"select doc_id, size, taken from ({mixing.MIX_SQL})").fetchall() if size}
+    mixed = run("mix", cut)
+    worded = {r["doc_id"]: tuple(r) for r in cut.collect() if WORD.search(r["text"] or "")}
+    assert Counter({r: n for r, n in each(mixed).items() if WORD.search(r[1] or "")}) == Counter({worded[i]: n for i, n in taken.items() if n})
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = Counter((r[0], len(ids := lib.encode(r[1] or "")), tuple(ids), sha(lib.decode(ids))) for r in each(mixed).elements())
+    assert Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["decoded_sha256"]) for r in run("encode", mixed).collect()) == want
