@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from readloom import cli
 from readloom.functions.sequences import first_mismatch, reverse_complement
 from readloom.operators.store import AlignmentStore
-from readloom.sources import binary, sequences
+from readloom.sources import binary, sequences, store_file
 from readloom.sources.intervals import intervals_from, read_intervals
 from readloom.sources.paf import parse_lines
 from readloom.sources.simulate import simulate_paf
@@ -92,6 +92,18 @@ def test_binary_store(spark):
         list(binary.read_store(io.BytesIO(b"nothing")))
 
 
+def test_store_file_from_and_to_dataframes(spark, tmp_path):
+    paf = written(tmp_path / "a.paf", line(), line("*ac:9", 5, 15, "r2", "-"), line(":3+ac:2-gt:3", 20, 30, "r1").replace("\tc\t", "\td\t"), line("*ac:9", 5, 15, "r3"))
+    store = AlignmentStore.from_paf(spark, paf)
+    store_file.save_store_file(store, str(tmp_path / "a.aln"))
+    rows = [(r["line_no"], r["read_id"], r["read_length"], r["contig_id"], r["contig_length"], r["read_start"], r["read_end"], r["contig_start"], r["contig_end"], r["is_reverse"], [tuple(m) for m in r["mutations"]]) for r in store.alignments.collect()]
+    want = io.BytesIO()
+    binary.write_store(want, rows)
+    assert (tmp_path / "a.aln").read_bytes() == want.getvalue()
+    back = store_file.load_store_file(spark, str(tmp_path / "a.aln"))
+    assert sorted(back.alignments.collect()) == sorted(store.alignments.select(*back.alignments.columns).collect())
+
+
 def test_commands(spark, tmp_path, capsys):
     rng = random.Random(1)
     contig = "".join(rng.choice("ACGT") for _ in range(100))
