@@ -51,6 +51,10 @@ def test_warc_odd_pages(spark):
     got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.warc_query(pages).collect())
     assert got == Counter([(1, 2000, "revisit", 5), (5, 2000, "response", None), (5, 2000, "response", None), (3, 0, "response", None), (None, 2000, "revisit", 5), (7, 1998, "response", None)])
     assert warc.warc_query(pages.where("false")).count() == 0
+    long = "<p>é</p>\r\n\r\n" * 200_000
+    again = spark.createDataFrame([(1, "http://a.b/", long), (2, "http://a.b/", long), (3, "http://a.b/", "WARC/1.0\r\n\r\n")], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in warc.warc_query(again).collect()}
+    assert [(found[k]["payload_bytes"], found[k]["payload_digest"], found[k]["refers_to"]) for k in (1, 2)] == [(len(long.encode()), hashlib.sha1(long.encode()).hexdigest(), r) for r in (2, None)]
 
 
 def test_warc_many_runs(spark, monkeypatch):
@@ -158,6 +162,17 @@ def test_vectors(spark):
     assert vectors.vector_links(df.where("false")).count() == 0
 
 
+def test_vectors_odd(spark):
+    """Repeated and null ids, equal vectors, a pair at the threshold, and columns of clashing names."""
+    at = [0.93, float(np.sqrt(1 - 0.93**2))]
+    cosine = at[0] / np.sqrt(at[0] ** 2 + at[1] ** 2)
+    rows = [(1, [1.0, 0.0], 1), (2, at, 1), (3, [2.0, 0.0], 1), (4, [0.0, 1.0], 1), (4, [0.0, 5.0], 1), (5, [0.0, 1.0], 1), (None, [1.0, 0.0], 1), (6, [1.0, 0.0], 2), (7, [0.929, float(np.sqrt(1 - 0.929**2))], 3), (8, [1.0, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"n": F.lit("mine"), "links": F.lit(1), "component": F.lit(2), "vector": F.lit(3), "class_id": F.lit(4)})
+    got = Counter(tuple(r) for r in vectors.vector_links(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    linked = int(cosine >= 0.93)
+    assert got == Counter([(1, 1 + linked, 1, True), (2, 2 * linked, 1 if linked else 2, not linked), (3, 1 + linked, 1, False), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False), (None, 0, None, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(1001, 1100)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5, 5), (None, 3)]
