@@ -16,8 +16,9 @@ SLOT_BITS = 20
 PREFIXES = (4, 5, 6)
 #: Bounds of the fit: labelled rows taken (in order of the md5 of their id) and terms kept.
 LABELLED_ROWS, TERMS = 40_000, 16_384
-#: Least likelihood ratio of a kept term, and least number of labelled texts that hold it.
-LEAST_G2, LEAST_TEXTS = 12.0, 2
+#: Least likelihood ratio of a kept term, and least number of labelled texts that hold it. A term of a share COMMON of the
+#: toxic texts is kept whatever its ratio: it may matter only together with another.
+LEAST_G2, LEAST_TEXTS, COMMON = 12.0, 2, 0.05
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 6, 30, 512, 0.02, 2e-4
 THRESHOLD = 0.3
 #: Words end at any ASCII character but letters and digits.
@@ -144,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, terms: in
 
     share = (F.col("c") + F.col("t")) / F.lit(float(max(n, 1)))
     g2 = 2 * (cell(F.col("t"), share * n1) + cell(F.col("c"), share * n0) + cell(n1 - F.col("t"), (1 - share) * n1) + cell(n0 - F.col("c"), (1 - share) * n0))
-    good = tally.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (F.col("t") + F.col("c") >= LEAST_TEXTS)).orderBy(F.desc("g2"), "slot").limit(terms)
+    common = F.col("t") >= F.lit(COMMON * n1)
+    good = tally.withColumn("g2", g2).where(((F.col("g2") >= LEAST_G2) | common) & (F.col("t") + F.col("c") >= LEAST_TEXTS)).orderBy(F.desc(common), F.desc("g2"), "slot").limit(terms)
     model = FactorizationMachine(np.sort(np.array([r["slot"] for r in good.select("slot").collect()], np.int64)))
     index = spark.sparkContext.broadcast(model.index)
 
