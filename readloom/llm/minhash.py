@@ -19,7 +19,7 @@ SHINGLE, PERCENT = 5, 75
 #: Values of a sketch. Its least LISTED enter the inverted lists, or two over a quarter of the set if that is less.
 #: Linked sets of up to 4 * LISTED values always have two of these in common; larger ones at the threshold have
 #: none with probability 1e-12, and one at most with 6e-11; more alike ones with less.
-SKETCH, LISTED = 128, 20
+SKETCH, LISTED = 256, 20
 #: Longer lists whose rows aren't one component, of passages that many texts share, give way to lists of two such values at once.
 HOT = 200
 #: Standard errors under the threshold at which the union sketch's estimate still lets a pair go on to the exact check.
@@ -97,7 +97,7 @@ def least_estimate(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """
     t = PERCENT / 100
     share = np.minimum(1.0, SKETCH * (1 + t) / np.maximum(na + nb, 1))
-    least = t - 0.01 - ERRORS * np.sqrt(t * (1 - t) / SKETCH * (1 - share))
+    least = np.where(share < 1, t - 0.01 - ERRORS * np.sqrt(t * (1 - t) / SKETCH * (1 - share)), t - 1e-9)
     return np.where(np.minimum(na, nb) >= t * np.maximum(na, nb), least, 2.0)
 
 
@@ -237,7 +237,10 @@ def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFra
                 if not len(y):
                     continue
                 common = shared(s[xs], s[y])
-                least = least_estimate(n[xs][:, None], n[y][None, :]) * np.maximum(size[xs][:, None], size[y][None, :])  # the union sketch is as large as either
+                na, nb = n[xs][:, None], n[y][None, :]
+                least = least_estimate(na, nb) * np.maximum(size[xs][:, None], size[y][None, :])  # the union sketch is as large as either
+                whole = SKETCH * (100 + PERCENT) >= 100 * (na + nb)  # both sets are held whole
+                least = np.where(whole & (least <= SKETCH), PERCENT * (na + nb) / (100 + PERCENT) - 1e-6, least)
                 p, q = np.nonzero((common >= least) & (comp[xs][:, None] != comp[y][None, :]))
                 if i == j:
                     once = ~rest[y[q]] | (ids[xs[p]] < ids[y[q]])
