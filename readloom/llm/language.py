@@ -3,14 +3,14 @@
 A text is its words, lower-cased A-Z, and one end. A word that the training
 texts hold more than once is a walk down a Huffman tree of such words; any
 other is the walk of an escape, then its bytes and a blank, each a walk down a
-tree of bytes. Every step of a walk is a bit to predict. Four hashed contexts
-give each bit a prediction from counts over all training texts: for words,
-nothing, the class of the text so far, the word before, the two words before;
-for bytes, one, two or three bytes before and the class, and the word so far.
-
-A prediction is one of LEVELS of confidence. Weights picked by a gate mix the
-four in the logistic domain, and a last table moves the result to what came
-true where the same four met. Both are learned on all training texts: each is
+tree of bytes. Every step of a walk is a bit to predict. Hashed contexts give
+each bit predictions from counts over all training texts: for words, the class
+of the text so far, the word before, the two words before; for bytes, one, two
+or three bytes before and the class, and the word so far.
+
+A prediction is one of LEVELS of confidence. Weights picked by a gate mix them
+in the logistic domain, and a last table moves the result to what came
+true where the same ones met. Both are learned on all training texts: each is
 predicted from the counts of the other half alone, so that its own words don't
 flatter the long contexts, and its outcomes are counted by what the contexts
 said. Those are sums of whole numbers, so the model is the same however rows
@@ -37,7 +37,7 @@ from .runtime import Shared, materialise, remove, shared_dir
 FREQUENT = 1 << 17
 #: Kinds of text a word may stand in: by the last byte over 127 before it in its document, 0 if none.
 CLASSES = 17
-#: Contexts; least and most bits of a context's slots: the slots grow with the training tokens between them.
+#: Contexts of bytes (words have one less); least and most bits of a context's slots: the slots grow with the training tokens between them.
 CONTEXTS, LEAST_BITS, MOST_BITS = 4, 14, 21
 #: Added to either count of a slot; logits of the levels and what parts them; code 0 is a slot never seen.
 PRIOR = 0.4
@@ -219,7 +219,7 @@ class Mixer:
         shift = np.uint64(64 - self.bits)
         for a in range(0, len(symbol), CHUNK):
             z = min(a + CHUNK, len(symbol))
-            contexts = [np.zeros(z - a, np.uint64), (t.cls[a:z] + np.uint64(1)) * flat.M3, flat.mix(one[a:z] + flat.M1), flat.mix(one[a:z] * flat.M3 + flat.mix(two[a:z]))]
+            contexts = [(t.cls[a:z] + np.uint64(1)) * flat.M3, flat.mix(one[a:z] + flat.M1), flat.mix(one[a:z] * flat.M3 + flat.mix(two[a:z]))]
             size, stage, bit, slots = self.words.events(symbol[a:z], contexts, shift)
             yield np.repeat(np.arange(a, z), size), stage, bit, slots
             spelt = np.flatnonzero(symbol[a:z] == self.escape) + a
@@ -255,13 +255,16 @@ class Mixer:
         for c in codes:
             cell *= CODES
             cell += c
+        for _ in range(CONTEXTS - len(codes)):
+            cell *= CODES
         return cell
 
     def learn(self, cell: np.ndarray, count: np.ndarray) -> None:
         """Weights by gate from the outcomes (count of bits 0 and 1) of the cells, a part after the other, and the probabilities of all cells."""
         every = np.arange(KINDS * DEPTHS * GRID)
         code = np.stack([every // CODES ** (CONTEXTS - 1 - k) % CODES for k in range(CONTEXTS)], 1)
-        gate = every // GRID * 4 + (code[:, 2] > 0) + 2 * (code[:, 3] > 0)
+        of_words = every < DEPTHS * GRID
+        gate = every // GRID * 4 + (np.where(of_words, code[:, 1], code[:, 2]) > 0) + 2 * (np.where(of_words, code[:, 2], code[:, 3]) > 0)
         x = np.concatenate([LEVELS[code], np.full((len(every), 1), 0.3)], 1)
         n_gates = KINDS * DEPTHS * 4
         w = np.full((n_gates, CONTEXTS + 1), 0.3)
