@@ -161,23 +161,27 @@ def vector_links(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
     Equal vectors of a label form a class; classes are compared, and a link
     between two counts for each of their vectors. Vectors of different length
     or label, with a null label, null, zero, or with null or non-finite
-    components link with nothing. Repeated ids are separate vectors of one
-    node. Null ids come back as they are, linked with nothing. An empty table
+    components link with nothing. Repeated ids are separate vectors, each with
+    its own links; a component is named by its least id. Null ids come back as they are, linked with nothing. An empty table
     gives an empty result.
     """
     base = rows.select("vec_id", "label", F.col("embedding").alias("vector"))
     good = base.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    classes = materialise(good.groupBy("label", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")))
+    classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = materialise(classes.withColumn("class_id", F.monotonically_increasing_id()))  # repeated ids may be the least of several classes
     turns: dict[int, np.ndarray] = {}
     for row in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*")).collect():  # one row a length of vectors
         d = row["d"]
-        sample = classes.where(F.size("vector") == d).orderBy(F.xxhash64("class_id"), "class_id").limit(max(d, SAMPLE_BYTES // (8 * d))).select("vector").toArrow()["vector"].combine_chunks()
+        sample = classes.where(F.size("vector") == d).orderBy(F.xxhash64("least"), "least", "vector").limit(max(d, SAMPLE_BYTES // (8 * d))).select("vector").toArrow()["vector"].combine_chunks()
         turns[d] = rotation(sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d))
     found = compared(tiles(classes, turns, threshold, tile), turns, threshold)
     totals = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     classes = classes.join(totals, "class_id", "left").join(parts.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    known = materialise(classes.select("label", "vector", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "class_id").alias("component")))
+    classes = classes.withColumn("component", F.coalesce("component", "class_id"))
+    roots = classes.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("several")).where("several > 1").drop("several")
+    classes = classes.join(roots, "component", "left")
+    known = materialise(classes.select("label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "least").alias("component")))
     known = known.select(F.col("label").alias("k_label"), F.col("vector").alias("k_vector"), "links", "component")
     keyed = base.withColumn("ok", F.col("vec_id").isNotNull() & valid(F.col("vector")))
     out = keyed.join(known, F.col("ok") & (F.col("label") == F.col("k_label")) & (F.col("vector") == F.col("k_vector")), "left")
