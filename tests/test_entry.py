@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -9,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df):
     cols = sorted(df.columns)
-    return sorted((tuple(None if x != x else x for x in r) for r in df[cols].astype(object).values.tolist()), key=repr)
+    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x.is_integer() else x
+    return sorted((tuple(map(plain, r)) for r in df[cols].astype(object).values.tolist()), key=repr)
 
 
 @pytest.mark.parametrize("name", [n for n in driver.QUERIES if n in driver.ORACLES])
