@@ -187,16 +187,20 @@ def star_candidates(lists: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows (value, v1, v2, id, component, c) of lists (value, v1, v2, id) whose rows aren't all in one of the components parts."""
-    named = lists.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return mixed_lists(lists.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+
+
+def mixed_lists(named: DataFrame) -> DataFrame:
+    """The rows of the lists (value, v1, v2, id, component) that hold several components, with c, the rows of the list."""
     mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where(F.col("lo") != F.col("hi"))
     return named.join(mixed.select("value", "c"), "value").select("value", "v1", "v2", "id", "component", "c")
 
 
 def hot_pairs(rows: DataFrame) -> DataFrame:
-    """value, v1, v2, id: lists of two values at once, of the lists in rows (value, id)."""
-    common = rows.groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("v")).where(F.size("v") > 1)
+    """value, v1, v2, id, component: lists of two values at once, of the lists in rows (value, id, component)."""
+    common = rows.groupBy("id", "component").agg(F.sort_array(F.collect_set("value")).alias("v")).where(F.size("v") > 1)
     two = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, LISTED), lambda y: F.struct(F.xxhash64(x, y).alias("value"), x.alias("v1"), y.alias("v2")))))
-    return common.select(F.explode(two).alias("p"), "id").select("p.value", "p.v1", "p.v2", "id")
+    return common.select(F.explode(two).alias("p"), "id", "component").select("p.value", "p.v1", "p.v2", "id", "component")
 
 
 def block_candidates(rows: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
@@ -301,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialise(open_lists(lists.select("value", F.col("value").alias("v1"), F.lit(None).cast("long").alias("v2"), "id"), parts))
     hot = F.col("c") > HOT
     pairs = materialise(hot_pairs(rows.where(hot)))
-    todo = materialise(rows.where(~hot).union(open_lists(pairs, parts)))
+    todo = materialise(rows.where(~hot).union(mixed_lists(pairs)))
     most = PARTNERS
     while todo.limit(1).count():
         found = block_candidates(todo, sketches, most)
