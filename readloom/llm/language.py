@@ -51,8 +51,8 @@ GRID = CODES**CONTEXTS
 PASSES, STEP, RATE, TRUST = 40, 4096, 0.02, 8.0
 #: Least probability of a bit; shares in which a text's own earlier tokens are mixed in, each as likely at its start.
 LEAST, SHARES = 1e-4, (0.0, 0.05, 0.15, 0.35, 0.7, 0.95)
-#: Slots in a piece of the tables that is sent; tokens whose bits are looked at at once; bytes of text for it.
-PIECE, CHUNK, SLICE = 1 << 15, 1 << 14, 2 << 20
+#: Slots in a piece of the tables that is sent; tokens whose bits are looked at at once; bytes spelt for it; bytes of text.
+PIECE, CHUNK, SPELT, SLICE = 1 << 15, 1 << 14, 1 << 17, 2 << 20
 BLANK = 32
 START_HASH, END_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 NODE_ODD, PLACE_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -125,8 +125,8 @@ class Tokens:
         self.start, self.size = placed(start, off[1:], np.int64), placed(end - start, 0, np.int64)
         self.bytes = np.diff(off)
         if len(raw):
-            high = np.maximum.accumulate(np.where(self.raw > 127, np.arange(len(raw)), -1))
-            last = np.where(self.start > 0, high[self.start - 1], -1)
+            high = np.concatenate([[-1], np.flatnonzero(self.raw > 127)])
+            last = high[np.searchsorted(high, self.start) - 1]
             self.cls = np.where((last >= 0) & (last >= off[self.row]), (self.raw[last] & 15) + 1, 0).astype(np.uint64)
         else:
             self.cls = np.zeros(size, np.uint64)
@@ -152,7 +152,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word, c: every word of the training texts, the end not among them."""
 
     def run(batches):
-        for b in flat.sliced(batches, 0, 4 * SLICE):
+        for b in flat.sliced(batches, 0, 2 * SLICE):
             raw, off = flat.text_bytes(b.column(0))
             raw = flat.LOWER[raw]
             start, end, _ = flat.word_spans(raw, off)
@@ -213,21 +213,37 @@ class Mixer:
         out[t.at_end] = self.end
         return out
 
-    def events(self, t: Tokens, symbol: np.ndarray):
-        """Bits of the tokens, a chunk at a time: token of each bit, kind and stage, bit, and the slots of the contexts. Tokens do not fall."""
+    def events(self, t: Tokens, symbol: np.ndarray, side: np.ndarray):
+        """Bits of the tokens, a chunk at a time, with the tokens' sides (0 or 1).
+
+        What is predicted is a word or a byte of a spelt one; bytes with the
+        same contexts on the same side are one. Gives the tokens in order of
+        what they hold, the first of them and their number for each that is
+        predicted, its steps, and of each step the kind and stage, the bit and
+        the slots of the contexts.
+        """
         one, two = t.before()
         shift = np.uint64(64 - self.bits)
         for a in range(0, len(symbol), CHUNK):
             z = min(a + CHUNK, len(symbol))
             contexts = [(t.cls[a:z] + np.uint64(1)) * flat.M3, flat.mix(one[a:z] + flat.M1), flat.mix(one[a:z] * flat.M3 + flat.mix(two[a:z]))]
             size, stage, bit, slots = self.words.events(symbol[a:z], contexts, shift)
-            yield np.repeat(np.arange(a, z), size), stage, bit, slots
-            spelt = np.flatnonzero(symbol[a:z] == self.escape) + a
-            if len(spelt):
-                unit, byte, contexts = self._spelling(t, spelt)
-                for i in range(0, len(byte), CHUNK):
-                    size, stage, bit, slots = self.letters.events(byte[i : i + CHUNK], [c[i : i + CHUNK] for c in contexts], shift)
-                    yield np.repeat(unit[i : i + CHUNK], size), stage + np.uint8(DEPTHS), bit, slots
+            token = np.arange(a, z)
+            yield token, token, np.ones(z - a, np.int64), size, stage, bit, slots
+        spelt = np.flatnonzero(symbol == self.escape)
+        part = np.cumsum(t.size[spelt] + 1) // SPELT
+        for some in np.split(spelt, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(spelt) else ():
+            token, byte, contexts = self._spelling(t, some)
+            key = flat.mix(contexts[-1] + (t.cls[token] << np.uint64(1) | side[token].astype(np.uint64)) * NODE_ODD) + byte.astype(np.uint64) * PLACE_ODD
+            order = np.argsort(key)
+            key, token = key[order], token[order]
+            first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            edge = np.append(first, len(order))
+            byte, contexts = byte[order[first]], [c[order[first]] for c in contexts]
+            for i in range(0, len(first), CHUNK):
+                z = min(i + CHUNK, len(first))
+                size, stage, bit, slots = self.letters.events(byte[i:z], [c[i:z] for c in contexts], shift)
+                yield token[edge[i] : edge[z]], token[first[i:z]], np.diff(edge[i : z + 1]), size, stage + np.uint8(DEPTHS), bit, slots
 
     def _spelling(self, t: Tokens, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
         """The bytes of the tokens and a blank after each: token, byte and contexts of each."""
@@ -245,7 +261,7 @@ class Mixer:
             b[pos < k] = 0
             known |= b << np.uint64(8 * (k - 1))
             contexts.append(flat.mix(known | (t.cls[token][unit] + np.uint64(32 * k)) << np.uint64(24)))
-        power = np.cumprod(np.concatenate([[1], np.full(int(pos.max()), PLACE_ODD)]).astype(np.uint64))
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(pos.max()), PLACE_ODD)]))
         total = np.cumsum(BYTE_MIX[byte] * power[pos]) - BYTE_MIX[byte] * power[pos]
         contexts.append(flat.mix(total - total[first][unit] + np.uint64(3)))
         return token[unit], byte, tuple(contexts)
@@ -292,10 +308,13 @@ class Mixer:
         """Log10 probability of each token."""
         out = np.zeros(len(symbol))
         table = self.log.ravel()
-        for token, stage, bit, slots in self.events(t, symbol):
+        for token, _, count, size, stage, bit, slots in self.events(t, symbol, np.zeros(len(symbol), np.int64)):
             cell = 2 * self.cells([c[s] for c, s in zip(self.codes, slots)], stage) + bit
-            first = token[0]
-            each = np.bincount(token - first, table[cell])
+            each = np.add.reduceat(table[cell], np.cumsum(size) - size)
+            if len(token) > len(each):
+                each = np.repeat(each, count)
+            first = token.min()
+            each = np.bincount(token - first, each)
             out[first : first + len(each)] += each
         return out
 
@@ -344,8 +363,40 @@ def _packed(cells: np.ndarray) -> tuple[bytes, int]:
     return pa.compress(cells.astype(f"u{width}").tobytes(), codec="zstd", asbytes=True), width
 
 
+def _tallied(batches, model: Mixer):
+    """Pieces of the counts of texts that come in order of their half; the tables of one half are held at a time."""
+    slots = 1 << model.bits
+    size, now = min(PIECE, slots), 0
+    tables = [np.zeros(2 * slots, np.int32) for _ in range(CONTEXTS)]
+
+    def pieces():
+        for which, table in enumerate(tables):
+            for part, piece in enumerate(table.reshape(-1, size, 2)):
+                if piece.any():
+                    cells, width = _packed(piece)
+                    yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([now], pa.int32()), pa.array([cells], pa.binary()), pa.array([width], pa.int32()), pa.array([size], pa.int32())], ["which", "part", "half", "cells", "width", "slots"])
+            table[:] = 0
+
+    for b in flat.sliced(batches, 0, SLICE):
+        cut = int(np.searchsorted(b.column(1).to_numpy(zero_copy_only=False), 1))
+        for half, texts in ((0, b.column(0)[:cut]), (1, b.column(0)[cut:])):
+            if not len(texts):
+                continue
+            if half != now:
+                yield from pieces()
+                now = half
+            t = Tokens(texts)
+            for _, _, count, steps, _, bit, found in model.events(t, model.symbols(t), np.zeros(len(t.row), np.int64)):
+                times = np.repeat(count.astype(np.int32), steps)
+                for table, s in zip(tables, found):
+                    s <<= 1
+                    s += bit
+                    np.add.at(table, s, times)
+    yield from pieces()
+
+
 def _added(batches):
-    """Codes of the sums of pieces that come in order of (which, part): of either half and of both; one piece is held at a time."""
+    """Codes of the sums of pieces of a half that come in order of (which, part): of either half and of both; one piece is held at a time."""
     now = total = None
 
     def out():
@@ -354,14 +405,13 @@ def _added(batches):
         return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([code.tobytes()], pa.binary())], ["which", "part", "codes"])
 
     for b in batches:
-        for which, part, cells, width, slots in zip(*[c.to_pylist() for c in b.columns]):
-            got = np.frombuffer(pa.decompress(cells, decompressed_size=4 * slots * width, codec="zstd"), f"u{width}").reshape(2, slots, 2)
+        for which, part, half, cells, width, slots in zip(*[c.to_pylist() for c in b.columns]):
+            got = np.frombuffer(pa.decompress(cells, decompressed_size=2 * slots * width, codec="zstd"), f"u{width}").reshape(slots, 2)
             if now != (which, part):
                 if now is not None:
                     yield out()
-                now, total = (which, part), got.astype(np.int64)
-            else:
-                total += got
+                now, total = (which, part), np.zeros((2, slots, 2), np.int64)
+            total[half] += got
     if now is not None:
         yield out()
 
@@ -371,31 +421,17 @@ def gather_tables(docs: DataFrame, model: Mixer) -> tuple[list[np.ndarray], list
 
     Each task sends the counts of its own texts once, in compressed pieces, so
     what is shuffled grows with the input; executors add them up, and the
-    driver gets a byte a slot.
+    driver gets a byte a slot. A task's texts come in order of the half, so it
+    holds the tables of one half at a time.
     """
     sent = Shared(docs.sparkSession, model)
     slots = 1 << model.bits
     size = min(PIECE, slots)
 
     def run(batches):
-        m = sent.value
-        tables = [np.zeros(4 * slots, np.int32) for _ in range(CONTEXTS)]
-        for b in flat.sliced(batches, 0, SLICE):
-            t = Tokens(b.column(0))
-            half = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[t.row] * (2 * slots)
-            for token, _, bit, found in m.events(t, m.symbols(t)):
-                cell, one = half[token] + bit, np.ones(len(token), np.int32)
-                for table, s in zip(tables, found):
-                    np.add.at(table, 2 * s + cell, one)
-        for which, table in enumerate(tables):
-            table = table.reshape(2, slots, 2)
-            for part in range(slots // size):
-                piece = table[:, part * size : (part + 1) * size]
-                if piece.any():
-                    cells, width = _packed(piece)
-                    yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([cells], pa.binary()), pa.array([width], pa.int32()), pa.array([size], pa.int32())], ["which", "part", "cells", "width", "slots"])
+        return _tallied(batches, sent.value)
 
-    parts = docs.where("train").select("text", "half").mapInArrow(run, "which int, part int, cells binary, width int, slots int")
+    parts = docs.where("train").select("text", "half").sortWithinPartitions("half").mapInArrow(run, "which int, part int, half int, cells binary, width int, slots int")
     summed = parts.repartition("which", "part").sortWithinPartitions("which", "part").mapInArrow(_added, "which int, part int, codes binary")
     halves, both = [np.zeros(2 * slots, np.uint8) for _ in range(CONTEXTS)], [np.zeros(slots, np.uint8) for _ in range(CONTEXTS)]
     path = shared_dir(docs.sparkSession)
@@ -419,11 +455,13 @@ def gather_outcomes(docs: DataFrame, model: Mixer) -> tuple[np.ndarray, np.ndarr
         seen = np.zeros(2 * KINDS * DEPTHS * GRID, np.int64)
         for b in flat.sliced(batches, 0, SLICE):
             t = Tokens(b.column(0))
-            other = (1 - b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))[t.row] * slots
-            for token, stage, bit, found in m.events(t, m.symbols(t)):
-                shift = other[token]
-                cell = 2 * m.cells([c[s + shift] for c, s in zip(m.codes, found)], stage) + bit
-                np.add.at(seen, cell.astype(np.int64), np.ones(len(cell), np.int64))
+            other = (1 - b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))[t.row]
+            for _, first, count, size, stage, bit, found in m.events(t, m.symbols(t), other):
+                shift = np.repeat(other[first] * slots, size)
+                for s in found:
+                    s += shift
+                cell = 2 * m.cells([c[s] for c, s in zip(m.codes, found)], stage) + bit
+                np.add.at(seen, cell.astype(np.int64), np.repeat(count, size))
         count = seen.reshape(-1, 2)
         at = np.flatnonzero(count.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at, 0]), pa.array(count[at, 1])], ["cell", "n0", "n1"])

@@ -45,15 +45,28 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _ByValue:
+    """Pickled, it is its model with the model's class."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __reduce__(self):
+        return pickle.loads, (cloudpickle.dumps(self.model),)
+
+
 class Shared:
-    """A model of bounded size for the executors, its class shipped by value with it, so that they need no copy of the library."""
+    """A model of bounded size for the executors, its class shipped by value with it, so that they need no copy of the library.
+
+    A worker reads it once and keeps no pickled copy; tasks must not change it.
+    """
 
     def __init__(self, spark: SparkSession, model):
-        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+        self._sent = spark.sparkContext.broadcast(_ByValue(model))
 
     @property
     def value(self):
-        return pickle.loads(self._sent.value)
+        return self._sent.value
 
     def unpersist(self) -> None:
         self._sent.unpersist()

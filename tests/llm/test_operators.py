@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -313,6 +314,37 @@ def test_language_learns_order(spark):
     assert mean([r for r in got if r["doc_id"] >= 0]) > mean([r for r in got if r["doc_id"] < 0]) + 20
 
 
+def test_language_tables_are_whole_and_small():
+    """Every step of every text is counted once, by halves; a task holds the tables of one half; what is spelt alike is told by all bytes before."""
+    texts = ["ab the of abcdefgh", "abcdXfgh b abcdefgh", "", "é abcdefgh x" + "yz" * 3000] * 3
+    model = toy_mixer([b"ab", b"b", b"the", b"of", "é".encode()])
+    model.bits, model.codes = 20, [np.resize(c, 1 << 20) for c in model.codes]
+    halves = [0] * 7 + [1] * 5
+    tracemalloc.start()
+    parts = [r for b in language._tallied([pa.record_batch([pa.array(texts[a:z]), pa.array(halves[a:z], pa.int32())], ["text", "half"]) for a, z in ((0, 3), (3, 12))], model) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * language.CONTEXTS << 20
+    got = Counter()
+    for r in parts:
+        got[r["half"], r["which"]] += int(np.frombuffer(pa.decompress(r["cells"], decompressed_size=2 * r["slots"] * r["width"], codec="zstd"), f"u{r['width']}").sum())
+    for half in (0, 1):
+        t = language.Tokens(pa.array([x for x, h in zip(texts, halves) if h == half]))
+        s = model.symbols(t)
+        spelt = model.letters.size[model._spelling(t, np.flatnonzero(s == model.escape))[1]].sum()
+        assert [got[half, k] for k in range(language.CONTEXTS)] == [model.words.size[s].sum() + spelt] * 3 + [spelt]
+    t = language.Tokens(pa.array(texts))
+    each = model.log10(t, model.symbols(t))
+    for i, text in enumerate(texts):
+        one = language.Tokens(pa.array([text]))
+        assert np.allclose(each[t.row == i], model.log10(one, model.symbols(one)), rtol=1e-12, atol=0)
+    t = language.Tokens(pa.array(["abcdefgh abcdXfgh"]))
+    before = model._spelling(t, np.array([0, 1]))[2][-1].reshape(2, 9)
+    assert (before[0, :5] == before[1, :5]).all() and (before[0, 5:] != before[1, 5:]).all()
+    wide = language.Tokens(pa.array(["é a", "b é", "c"]))
+    assert wide.cls.tolist() == [0, 10, 10, 0, 0, 10, 0, 0]
+
+
 # op7
 
 
