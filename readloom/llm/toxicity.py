@@ -17,8 +17,11 @@ PREFIXES = (4, 5, 6)
 #: Bounds of the fit: labelled rows taken (in order of the md5 of their id) and terms kept.
 LABELLED_ROWS, TERMS = 40_000, 16_384
 #: Least likelihood ratio of a kept term, and least number of labelled texts that hold it. A term of a share COMMON of the
-#: toxic texts is kept whatever its ratio: it may matter only together with another.
+#: toxic texts may matter only together with another: it is kept, too, if its ratio among the texts of another such term is
+#: large for the best of so many.
 LEAST_G2, LEAST_TEXTS, COMMON = 12.0, 2, 0.05
+#: Texts, and pairs of terms, that are looked at at once.
+TEXTS, PAIRS = 1024, 1 << 20
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 6, 30, 512, 0.02, 2e-4
 THRESHOLD = 0.3
 #: Words end at any ASCII character but letters and digits.
@@ -104,6 +107,41 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def likelihood_ratio(t: np.ndarray, c: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """G2 of terms that t of n1 toxic and c of n0 clean texts hold."""
+    n = np.maximum(n1 + n0, 1)
+    share = (t + c) / n
+
+    def cell(count, expected):
+        return np.where(count > 0, count * np.log(np.maximum(count, 1) / np.where(count > 0, expected, 1)), 0)
+
+    return 2 * (cell(t, share * n1) + cell(c, share * n0) + cell(n1 - t, (1 - share) * n1) + cell(n0 - c, (1 - share) * n0))
+
+
+def together(term: np.ndarray, row: np.ndarray, y: np.ndarray, common: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Of each asked term the largest likelihood ratio among the texts of one of the common terms; 0 of others. row ascends."""
+    best = np.zeros(len(common))
+    place = np.cumsum(common) - 1
+    has = common[term]
+    at, row = place[term[has]], row[has]
+    n = int(common.sum())
+    ask, where = np.flatnonzero(asked[common]), np.flatnonzero(asked & common)
+    width = max(1, PAIRS // max(n, 1))
+    cuts = np.searchsorted(row, np.arange(0, len(y) + TEXTS, TEXTS))
+    whole = np.stack([np.bincount(at[y[row] == k], minlength=n) for k in (0, 1)])
+    for a in range(0, len(ask), width):
+        both = np.zeros((2, n, len(ask[a : a + width])), np.float32)  # whole numbers far below 2^24
+        for i, (first, last) in enumerate(zip(cuts, cuts[1:])):
+            held = np.zeros((min(TEXTS, len(y) - i * TEXTS), n), np.float32)
+            held[row[first:last] - i * TEXTS, at[first:last]] = 1
+            label = y[i * TEXTS : i * TEXTS + len(held)]
+            for k in (0, 1):
+                mine = held[label == k]
+                both[k] += mine.T @ mine[:, ask[a : a + width]]
+        best[where[a : a + width]] = likelihood_ratio(both[1].astype(float), both[0].astype(float), whole[1][:, None], whole[0][:, None]).max(0)
+    return best
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, terms: int = TERMS) -> FactorizationMachine:
     """Fit on at most `rows` labelled texts; labels is (doc_id, toxic), without the rows to hold out.
 
@@ -147,8 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, terms: in
     g2 = 2 * (cell(F.col("t"), share * n1) + cell(F.col("c"), share * n0) + cell(n1 - F.col("t"), (1 - share) * n1) + cell(n0 - F.col("c"), (1 - share) * n0))
     common = F.col("t") >= F.lit(COMMON * n1)
     good = tally.withColumn("g2", g2).where(((F.col("g2") >= LEAST_G2) | common) & (F.col("t") + F.col("c") >= LEAST_TEXTS)).orderBy(F.desc(common), F.desc("g2"), "slot").limit(terms)
-    model = FactorizationMachine(np.sort(np.array([r["slot"] for r in good.select("slot").collect()], np.int64)))
-    index = spark.sparkContext.broadcast(model.index)
+    found = sorted((r["slot"], r["strong"], r["common"]) for r in good.select("slot", (F.col("g2") >= LEAST_G2).alias("strong"), common.alias("common")).collect())
+    kept_slots, strong, often = (np.array([x[k] for x in found], kind) for k, kind in enumerate((np.int64, bool, bool)))
+    index = spark.sparkContext.broadcast(FactorizationMachine(kept_slots).index)
 
     def known(batches):
         for b in batches:
@@ -162,7 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, terms: in
     each = sample["terms"].combine_chunks()
     term = each.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(each)), each.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    model.fit(term, row, sample["toxic"].to_numpy().astype(float))
+    y = sample["toxic"].to_numpy().astype(float)
+    kept = strong | (together(term, row, y, often, ~strong) >= LEAST_G2 + 2 * np.log(max(int(often.sum()), 1)))
+    has = kept[term]
+    model = FactorizationMachine(kept_slots[kept]).fit((np.cumsum(kept) - 1)[term[has]], row[has], y)
     index.unpersist()
     remove(spark, path)
     return model

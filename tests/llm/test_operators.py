@@ -406,6 +406,25 @@ def test_toxicity_learns_pairs_and_stems(spark, odd_docs, no_docs):
     assert clean.count() == odd_docs.count() and clean.columns == [*odd_docs.columns, "extra"]
 
 
+def test_toxicity_keeps_common_terms_that_matter_together():
+    """Of two terms that tell only together both stand out, of terms by chance none; the ratio is that of counts by hand."""
+    rng = np.random.default_rng(4)
+    held = rng.random((3000, 40)) < 0.3
+    y = (held[:, 0] ^ held[:, 1]).astype(float)
+    row, term = np.nonzero(held)
+    common, asked = np.arange(40) < 39, np.arange(40) != 5
+    got = toxicity.together(term, row, y, common, asked)
+    assert (got[:2] > 1000).all() and (got[2:] < toxicity.LEAST_G2 + 2 * math.log(39)).all() and got[5] == got[39] == 0
+    want = 0.0
+    for b in range(39):
+        some = held[:, b]
+        table = [[(some & (held[:, 7] == x) & (y == k)).sum() for k in (0, 1)] for x in (False, True)]
+        n = some.sum()
+        want = max(want, sum(2 * o * math.log(o * n / (sum(r) * (table[0][k] + table[1][k]))) for r in table for k, o in enumerate(r) if o))
+    assert math.isclose(got[7], want, rel_tol=1e-6)
+    assert toxicity.together(term[:0], row[:0], y[:0], common, asked).max() == 0
+
+
 # op9
 
 
