@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +15,8 @@ from .overlap import interval_hits
 from .scratch import numbered
 
 STYLES = ("by_coord", "by_mutations")
+#: Bytes of the levels by mutations that are held at a time; a word of 64 levels.
+LEVEL_BYTES, FULL = 128 << 20, np.uint64((1 << 64) - 1)
 
 
 def stack_by_coord(starts: list[int], ends: list[int]) -> list[int]:
@@ -34,20 +36,70 @@ def stack_by_coord(starts: list[int], ends: list[int]) -> list[int]:
     return out
 
 
-def stack_by_mutations(starts: list[int], ends: list[int]) -> list[int]:
-    """Lowest level of each, in the order given, without a segment (s, e) with e >= start and s < end."""
-    levels: list[tuple[list[int], list[int]]] = []  # starts and ends of each level's segments, both rising
-    out = []
-    for s, e in zip(starts, ends):
-        for k, (ls, le) in enumerate(levels):
-            if bisect_left(le, s) >= bisect_left(ls, e):  # all segments that begin before e end before s
-                break
-        else:
-            k = len(levels)
-            levels.append(([], []))
-        insort(levels[k][0], s)
-        insort(levels[k][1], e)
+def _path(k: int, size: int) -> list[int]:
+    """Nodes of a tree of size leaves from leaf k up."""
+    out, k = [], k + size
+    while k:
         out.append(k)
+        k >>= 1
+    return out
+
+
+def _nodes(a: int, z: int, size: int) -> list[int]:
+    """The fewest nodes over the leaves a to z - 1."""
+    out, a, z = [], a + size, z + size
+    while a < z:
+        if a & 1:
+            out.append(a)
+            a += 1
+        if z & 1:
+            z -= 1
+            out.append(z)
+        a >>= 1
+        z >>= 1
+    return out
+
+
+def stack_by_mutations(starts: list[int], ends: list[int], memory: int = LEVEL_BYTES) -> list[int]:
+    """Lowest level of each, in the order given, without a segment (s, e) with e >= start and s < end.
+
+    Levels are bits. Two trees over the distinct starts hold the levels of the
+    segments that reach a start from before it and of those that begin in a
+    range; a segment looks at the nodes of its own start and range, 64 levels a
+    word. A pair of start and end never fits below where it did before. Where
+    the words of all levels would take over memory, what the levels of one band
+    refuse goes on to the next band: first fit all the same.
+    """
+    s, e = np.asarray(starts, dtype=np.int64), np.asarray(ends, dtype=np.int64)
+    points, out = np.unique(s), [0] * len(s)
+    size = len(points)
+    pairs, pair = np.unique(np.stack([s, e], axis=1), axis=0, return_inverse=True)
+    at, inside, reach, pair = (x.tolist() for x in (np.searchsorted(points, s), np.searchsorted(points, e), np.searchsorted(points, e, "right"), pair.ravel()))
+    words = min(max(memory // (32 * max(size, 1)), 1), 16)
+    most = max(memory // (32 * max(size, 1) * words), 1)
+    left, base = range(len(s)), 0
+    while left:
+        blocks, low, refused = [], [0] * len(pairs), []
+        for i in left:
+            look = np.array(_path(at[i], size) + [2 * size + k for k in _nodes(at[i], inside[i], size)])
+            for b in range(low[pair[i]], most):
+                if b == len(blocks):
+                    blocks.append(np.zeros((4 * size, words), dtype=np.uint64))
+                used = np.bitwise_or.reduce(blocks[b][look], axis=0)
+                w = int((used != FULL).argmax())
+                if used[w] != FULL:
+                    break
+            else:
+                low[pair[i]] = most
+                refused.append(i)
+                continue
+            low[pair[i]] = b
+            bits = int(used[w])
+            free = ~bits & (bits + 1)
+            mark = _nodes(at[i] + 1, reach[i], size) + [2 * size + k for k in _path(at[i], size)]
+            blocks[b][mark, w] |= np.uint64(free)
+            out[i] = base + (b * words + w) * 64 + free.bit_length() - 1
+        left, base = refused, base + most * words * 64
     return out
 
 

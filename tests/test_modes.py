@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import model
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cs as C
 from readloom.functions.sequences import apply_mutations
-from readloom.operators.full import full_query, stack_by_coord
+from readloom.operators.full import full_query, stack_by_coord, stack_by_mutations
 from readloom.operators.overlap import interval_hits
 from readloom.operators.pileup import pileup_query
 from readloom.operators.store import AlignmentStore
@@ -78,6 +79,28 @@ def test_levels_touch():
     assert stack_by_coord([0, 5, 5, 6], [5, 9, 7, 8]) == [0, 0, 1, 2]
 
 
+def test_levels_by_mutations():
+    """Against a walk over all levels, in bands of 64 levels too; and deep stacks in about the time of as many shallow ones."""
+    rng = random.Random(3)
+    for most in (0, 1, 20, 200):
+        s = [rng.randrange(60) for _ in range(400)]
+        e = [x + rng.randrange(most + 1) for x in s]
+        levels, want = [], []
+        for a, z in zip(s, e):
+            k = next((k for k, held in enumerate(levels) if not any(q >= a and p < z for p, q in held)), len(levels))
+            levels += [[]] * (k == len(levels))
+            levels[k] = [*levels[k], (a, z)]
+            want.append(k)
+        assert stack_by_mutations(s, e) == stack_by_mutations(s, e, memory=1) == want
+    took = []
+    for span in (1_000_000, 1000):
+        s = [rng.randrange(span) for _ in range(30_000)]
+        begin = time.process_time()
+        stack_by_mutations(s, [x + rng.randrange(6, 140) for x in s])
+        took.append(time.process_time() - begin)
+    assert took[1] < 4 * took[0] + 1
+
+
 def test_errors(store, intervals, spark):
     with pytest.raises(ValueError):
         store.bins(spark.createDataFrame([(0, "nowhere", 0, 5)], intervals.schema))
