@@ -203,12 +203,12 @@ def _sequences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def verified_alignments(spark, sf_dir):
-    checked = verify_alignments(parsed(spark, sf_dir), *_sequences(spark, sf_dir))
+    checked = verify_alignments(alignments(spark, sf_dir), *_sequences(spark, sf_dir))
     return checked.select("read_id", "contig_id", F.col("line_no.l_partkey").alias("l_partkey"), "substitutions", "insertions", "deletions", "ok", "first_mismatch")
 
 
 def verification_tally(spark, sf_dir):
-    return tally(verify_alignments(parsed(spark, sf_dir), *_sequences(spark, sf_dir)))
+    return tally(verify_alignments(alignments(spark, sf_dir), *_sequences(spark, sf_dir)))
 
 
 def paf_scan(spark, sf_dir):

@@ -12,6 +12,7 @@ from readloom.operators.full import full_query, stack_by_coord, stack_by_mutatio
 from readloom.operators.overlap import interval_hits
 from readloom.operators.pileup import pileup_query
 from readloom.operators.store import AlignmentStore
+from readloom.operators.verify import verify_alignments
 
 INTERVALS = [(0, "c0", 20, 90), (1, "c0", 60, 130), (2, "c0", 130, 160), (3, "c1", 50, 50), (4, "c1", 0, 120), (5, "c1", 0, 120)]
 SCHEMA = "line_no long, read_id string, read_length long, contig_id string, contig_length long, read_start long, read_end long, contig_start long, contig_end long, is_reverse boolean, cs string"
@@ -112,6 +113,26 @@ def test_errors(store, intervals, spark):
         pileup_query(store.alignments, intervals, 1, "some")
 
 
+def test_verify_cuts_before_the_reads(spark):
+    """Fragments across pieces of a contig, first differences by place, and no whole contig in the join of the reads."""
+    rng = random.Random(8)
+    contig = "".join(rng.choice("ACGT") for _ in range(3000))
+    rows, reads, want = [], [], {}
+    for i, (s, e) in enumerate([(0, 5), (0, 3000), (250, 260), (255, 256), (256, 512), (700, 1900), (2990, 3000), (2999, 3005), (3500, 3600)]):
+        for wrong in (None, 0, 3):
+            seq = contig[s:e]
+            bad = wrong is not None and wrong < len(seq)
+            seq = seq[:wrong] + "n" + seq[wrong + 1 :] if bad else seq
+            n = f"r{i}_{wrong}"
+            rows.append((len(rows), n, len(seq), "c", 3000, 0, len(seq), s, e, False, f":{e - s}"))
+            reads.append((n, seq))
+            want[n] = (not bad, wrong if bad else None)
+    checked = verify_alignments(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(reads, "id string, sequence string"), spark.createDataFrame([("c", contig)], "id string, sequence string"))
+    assert {r["read_id"]: (r["ok"], r["first_mismatch"]) for r in checked.collect()} == want
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "contig_seq" not in plan[: plan.index("Join LeftOuter, (read_id")]
+
+
 def test_strict_pileup(spark, intervals):
     a = spark.createDataFrame([(0, "r", 9, "c0", 9, 0, 4, 30, 34, False, ":4+ac")], SCHEMA).withColumn("mutations", C.mutations(F.col("cs"), F.col("contig_start")))
     b = a.withColumn("cs", F.lit(":1+a*ac:2")).withColumn("mutations", C.mutations(F.col("cs"), F.col("contig_start")))
