@@ -43,6 +43,8 @@ def apply_mutations(reference: Column, muts: Column, contig_start: Column) -> Co
 
 def first_mismatch(a: Column, b: Column) -> Column:
     """Index from 0 of the first difference; the shorter length if one is a prefix of the other; null if equal."""
-    near = F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     short = F.least(F.length(a), F.length(b))
-    return F.when(a == b, F.lit(None).cast("int")).when(short == 0, F.lit(0)).otherwise(F.coalesce(F.get(near, 0) - 1, short))
+    # Powers of two from the largest within the shorter length down: a stretch that is equal is passed.
+    steps = F.transform(F.sequence(F.length(F.bin(short.cast("long"))) - 1, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    same = lambda n, step: (n + step <= short) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step))
+    return F.when(a == b, F.lit(None).cast("int")).otherwise(F.aggregate(steps, F.lit(0), lambda n, step: F.when(same(n, step), n + step).otherwise(n)))

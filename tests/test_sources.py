@@ -156,3 +156,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("bins").collect())) == [("c", 0, 15, 1), ("c", 10, 5, 0)]
+
+
+def test_first_mismatch_at_any_place(spark):
+    """Against a walk, at lengths about powers of two, characters of several bytes too; the steps are as many as a length has binary digits."""
+    texts = ["", "a", "b"]
+    pairs = [(x, y) for x in texts for y in texts]
+    for n in (1, 2, 3, 7, 8, 9, 31, 32, 33):
+        whole = ("ac\u00e9g" * 9)[:n]
+        pairs += [(whole, whole + "t"), (whole + "tt", whole), *((whole, whole[:k] + "x" + whole[k + 1 :]) for k in range(n))]
+    walk = lambda a, b: None if a == b else next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    made = first_mismatch(F.col("a"), F.col("b"))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", made.alias("n")).collect()
+    assert [r["n"] for r in got] == [walk(r["a"], r["b"]) for r in got]
+    assert "sequence(1," not in made._jc.toString()
