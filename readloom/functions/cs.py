@@ -78,6 +78,11 @@ def with_mutations(rows: DataFrame) -> DataFrame:
     return rows if "mutations" in rows.columns else rows.withColumn("mutations", mutations(F.col("cs"), F.col("contig_start")))
 
 
+def mutation_count(cs: Column) -> Column:
+    """Number of mutations of a valid string, from its signs alone."""
+    return (F.length(cs) - F.length(F.translate(cs, "*+-", ""))).cast("bigint")
+
+
 def each_mutation(rows: DataFrame, *keep: str) -> DataFrame:
     """The columns to keep and m, a row for each mutation. (explode alone would have its array made once more for a filter.)"""
     return with_mutations(rows).select(*keep, F.explode_outer("mutations").alias("m")).where("m is not null")

@@ -217,7 +217,7 @@ def paf_scan(spark, sf_dir):
     fields = ["read_id", "read_length", "read_start", "read_end", F.when(F.col("is_reverse"), "-").otherwise("+"), "contig_id", "contig_length", "contig_start", "contig_end", F.lit("0"), F.lit("0"), F.lit("60"), F.lit("NM:i:0"), F.concat(F.lit("cs:Z:"), "cs")]
     path = scratch_path(spark)
     a.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
-    return read_paf(spark, path).select("line_no", "read_id", "read_length", "contig_id", "contig_length", "read_start", "read_end", "contig_start", "contig_end", "is_reverse", "cs", F.size("mutations").cast("long").alias("n_mutations"))
+    return read_paf(spark, path).select("line_no", "read_id", "read_length", "contig_id", "contig_length", "read_start", "read_end", "contig_start", "contig_end", "is_reverse", "cs", C.mutation_count(F.col("cs")).alias("n_mutations"))
 
 
 def sequence_files(spark, sf_dir):

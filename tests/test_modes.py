@@ -41,6 +41,11 @@ def test_mutations_and_way_back(store, rows):
         assert r["again"] == r["cs"] and r["ok"]
 
 
+def test_mutation_count(store, rows):
+    got = store.alignments.select("line_no", C.mutation_count(F.col("cs")).alias("n")).collect()
+    assert {r["line_no"]: r["n"] for r in got} == {r["line_no"]: len(r["muts"]) for r in rows}
+
+
 def test_invalid_strings(spark):
     bad = ["", ":0", ":3:4", "*a", "*AC", "+", ":5=acg", "~gt3ac", ":4", None]
     df = spark.createDataFrame([(s,) for s in bad], "cs string").select(C.is_valid(F.col("cs"), F.lit(0), F.lit(5)).alias("ok"))
